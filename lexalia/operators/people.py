@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexalia.functions.names import party_short, short_name
-from lexalia.operators.aggregates import count_distinct, join_values, null_rate
+from lexalia.operators.aggregates import count_distinct, join_values
 
 
 def first_match(lookup: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -40,14 +40,23 @@ def roster_duplicates(roster: DataFrame, part_rows: int = 1000) -> DataFrame:
         F.coalesce("members_dup", F.lit("")).alias("members_dup"))
 
 
+def _documents_per_author(docs: DataFrame) -> DataFrame:
+    """Counted before any join, so a very active author is one row."""
+    return docs.groupBy("AUTHOR", "period").agg(F.count("*").alias("_n"))
+
+
+def _weighted_null_rate(column: Column) -> Column:
+    return F.sum(F.when(column.isNull(), F.col("_n")).otherwise(0)) / F.sum("_n")
+
+
 def unmatched_rates(docs: DataFrame, roster: DataFrame) -> DataFrame:
     """Per period: documents and authors without an entry in the roster."""
     entry = roster.select("AUTHOR", "period", "ugr")
-    joined = docs.select("AUTHOR", "period").join(entry, ["AUTHOR", "period"], "left")
+    joined = _documents_per_author(docs).join(entry, ["AUTHOR", "period"], "left")
     unknown = F.col("ugr").isNull()
     return joined.groupBy("period").agg(
         count_distinct(F.col("AUTHOR"), True).alias("n_mem"),
-        F.count("*").alias("count"), null_rate(F.col("ugr")).alias("without_party"),
+        F.sum("_n").alias("count"), _weighted_null_rate(F.col("ugr")).alias("without_party"),
         F.countDistinct(F.when(unknown, F.col("AUTHOR"))).alias("n_mem_without_party"),
     ).withColumn("without_part_count", F.col("n_mem_without_party") / F.col("n_mem"))
 
@@ -55,9 +64,9 @@ def unmatched_rates(docs: DataFrame, roster: DataFrame) -> DataFrame:
 def unmatched_authors(docs: DataFrame, roster: DataFrame, n: int = 6) -> DataFrame:
     """First ``n`` authors, in name order, that the roster does not know."""
     entry = roster.select("AUTHOR", "period", "ugr")
-    joined = docs.select("AUTHOR", "period").join(entry, ["AUTHOR", "period"], "left")
+    joined = _documents_per_author(docs).join(entry, ["AUTHOR", "period"], "left")
     return (joined.filter(F.col("ugr").isNull()).groupBy("AUTHOR", "ugr")
-            .agg(F.count("*").alias("k")).orderBy("AUTHOR").limit(n))
+            .agg(F.sum("_n").alias("k")).orderBy("AUTHOR").limit(n))
 
 
 def author_map(docs: DataFrame, roster: DataFrame, shorten_party: bool = False) -> DataFrame:
@@ -80,13 +89,13 @@ def author_map(docs: DataFrame, roster: DataFrame, shorten_party: bool = False)
 
 def match_rates(docs: DataFrame, mapping: DataFrame) -> DataFrame:
     """Unmatched share per period before and after shortening the names."""
-    joined = docs.select("AUTHOR", "period").join(mapping, ["AUTHOR", "period"], "left")
+    joined = _documents_per_author(docs).join(mapping, ["AUTHOR", "period"], "left")
     return joined.groupBy("period").agg(
         count_distinct(F.col("AUTHOR"), True).alias("count_original"),
         count_distinct(F.col("stripped"), True).alias("count_clean"),
-        F.count("*").alias("count_int"),
-        null_rate(F.col("ugr")).alias("perc_without_original"),
-        null_rate(F.col("ugr2")).alias("perc_without_clean"))
+        F.sum("_n").alias("count_int"),
+        _weighted_null_rate(F.col("ugr")).alias("perc_without_original"),
+        _weighted_null_rate(F.col("ugr2")).alias("perc_without_clean"))
 
 
 def attach_authors(docs: DataFrame, mapping: DataFrame) -> DataFrame:

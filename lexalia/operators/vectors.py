@@ -22,31 +22,38 @@ def unigrams(content: Column, words: list[str] | None = None) -> Column:
 
 
 def with_bigrams(grams: Column) -> Column:
-    """Words followed by neighbouring pairs joined with ``_``."""
-    last = F.size(grams) - 1
-    pairs = F.transform(
-        F.slice(grams, F.lit(1), F.greatest(last, F.lit(0))),
-        lambda w, i: F.concat(w, F.lit("_"), F.get(grams, i + 1)))
-    return F.concat(grams, pairs)
+    """Words followed by neighbouring pairs joined with ``_``.
+
+    Pairs come from the array zipped with itself, which stays linear even
+    where the optimiser inlines the expression that makes ``grams``.
+    """
+    pairs = F.greatest(F.size(grams) - 1, F.lit(0))
+    return F.concat(grams, F.zip_with(
+        F.slice(grams, F.lit(1), pairs), F.slice(grams, F.lit(2), pairs),
+        lambda first, second: F.concat(first, F.lit("_"), second)))
+
+
+def _grams(docs: DataFrame, keys: list[str], text: str, words: list[str] | None) -> DataFrame:
+    return docs.select(*keys, unigrams(F.col(text), words).alias("_g"))
+
+
+def _terms(ngrams: int) -> Column:
+    # Always an expression, never a bare column: exploding a bare column makes
+    # Spark test its size in a filter that computes the array a second time.
+    return with_bigrams(F.col("_g")) if ngrams == 2 else F.concat(F.col("_g"))
 
 
 def term_arrays(docs: DataFrame, keys: list[str], text: str, ngrams: int = 2,
                 words: list[str] | None = None) -> DataFrame:
-    """``keys, terms``: all term occurrences of a document in one array.
-
-    The words get a column of their own first, so that pairing neighbours
-    looks them up instead of splitting the text again.
-    """
-    grams = docs.select(*keys, unigrams(F.col(text), words).alias("_g"))
-    return grams.select(*keys, (with_bigrams(F.col("_g")) if ngrams == 2 else F.col("_g"))
-                        .alias("terms"))
+    """``keys, terms``: all term occurrences of a document in one array."""
+    return _grams(docs, keys, text, words).select(*keys, _terms(ngrams).alias("terms"))
 
 
 def document_terms(docs: DataFrame, keys: list[str], text: str, ngrams: int = 2,
                    words: list[str] | None = None) -> DataFrame:
     """One row per term occurrence."""
-    arrays = term_arrays(docs, keys, text, ngrams, words)
-    return arrays.select(*keys, F.explode("terms").alias("term"))
+    return _grams(docs, keys, text, words).select(
+        *keys, F.explode(_terms(ngrams)).alias("term"))
 
 
 def dtm_from_text(docs: DataFrame, text_col: str, id_cols: list[str], ngrams: int = 2,

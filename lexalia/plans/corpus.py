@@ -17,7 +17,10 @@ PERIODS = [name for name, _, _ in TERMS]
 
 def corpus(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     """Documents with date, period, author and party."""
-    docs = (load_spread if spread else load)(spark, folder, "documents")
+    return corpus_view((load_spread if spread else load)(spark, folder, "documents"))
+
+
+def corpus_view(docs: DataFrame) -> DataFrame:
     date = F.date_add(F.lit("1997-10-20").cast("date"),
                       ((F.col("ID") * 37) % 3600).cast("int"))
     period = F.when(F.col("ID") % 50 == 0, "2001-2005")
@@ -51,7 +54,10 @@ def clean_documents(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     """Documents rebuilt from their cleaned lemmas, without a shuffle."""
     docs = corpus(spark, folder, spread=True)
     words = clean_lemma_array(F.col("CONTENT"))
-    return docs.select(*KEYS, *extra, words.alias("_w")).filter(F.size("_w") > 0).select(
+    # Exploding the words as a list of at most one array drops empty documents
+    # without working the words out once more for a filter.
+    filled = F.filter(F.array(words), lambda w: F.size(w) > 0)
+    return docs.select(*KEYS, *extra, F.explode(filled).alias("_w")).select(
         *KEYS, *extra, F.array_join("_w", " ").alias("CONTENT"))
 
 
