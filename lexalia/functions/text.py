@@ -81,3 +81,9 @@ def period_from_path(path: Column) -> Column:
     keyed = F.regexp_extract(path, r"period=([^/]+)", 1)
     named = F.regexp_extract(path, r"(?:^|/)[a-z]+_([^/.]+)(?:\.[^/]*)?$", 1)
     return F.when(keyed != "", keyed).otherwise(F.nullif(named, F.lit("")))
+
+
+def content_kind(name: Column) -> Column:
+    """Table holding the texts of a stored file: sessions start with ``ps``."""
+    return F.when(starts_with_any(name, ["ps"]), F.lit("pscontent")).otherwise(
+        F.lit("ipcontent"))

@@ -103,8 +103,3 @@ def pending_documents(docs: DataFrame, done: DataFrame, keys: list[str],
     if max_docs is None:
         return todo
     return todo.orderBy(*(order or keys)).limit(max_docs)
-
-
-def content_table_for(name: str) -> str:
-    """Which table holds the texts of a stored file, by its name."""
-    return "pscontent" if name.startswith("ps") else "ipcontent"

@@ -37,6 +37,16 @@ def run_to_table(stream: DataFrame, target: str, checkpoint: str,
     writer.start(target).awaitTermination()
 
 
+def run_complete(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Process what is there and leave the current aggregate at ``target``."""
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    (stream.writeStream.outputMode("complete").foreachBatch(replace)
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True)
+     .start().awaitTermination())
+
+
 def tagging_stream(docs: DataFrame) -> DataFrame:
     """The tagging step on a document stream (stateless)."""
     return lemmatise(token_rows(docs, ["period", "ID"], "CONTENT"))
