@@ -10,11 +10,11 @@ from pyspark.sql import Column, functions as F
 URL = (r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\(\),]"
        r"|(?:%[0-9a-fA-F][0-9a-fA-F]))+")
 
-# A token is a number (with inner , . -), a word, or one other visible symbol.
-TOKEN = r"[0-9]+(?:[.,\-][0-9]+)*|[\p{L}\p{N}]+|[^ \t\n\r\f\p{L}\p{N}]"
-
-# Tokens a tagger labels as punctuation rather than as words or symbols.
-PUNCTUATION = r"^[.,;:!?()\[\]{}\"'…\-–—/\\]$"
+# A token is a number (with inner , . -), a word, or one other visible symbol;
+# what a tagger labels as punctuation is never taken up.
+PUNCTUATION = r".,;:!?()\[\]{}\"'…\-–—/\\"
+TOKEN = (r"[0-9]+(?:[.,\-][0-9]+)*|[\p{L}\p{N}]+|[^ \t\n\r\f\p{L}\p{N}"
+         + PUNCTUATION + "]")
 
 # Token shapes that carry no vocabulary.
 NOISE = {
@@ -63,7 +63,7 @@ def to_ascii(text: Column) -> Column:
 
 
 def tokenise(text: Column) -> Column:
-    """Array of tokens in reading order."""
+    """Array of words, numbers and symbols in reading order, without punctuation."""
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexalia.session import cut_lineage
+
 
 def with_group_stats(df: DataFrame, by: list[str], **stats: Column) -> DataFrame:
     """Attach per-group aggregates to every row; NULL keys form a group of their own."""
@@ -24,15 +26,18 @@ def with_group_stats(df: DataFrame, by: list[str], **stats: Column) -> DataFrame
 
 
 def top_n_with_ties(df: DataFrame, n: int, weight: str, by: list[str] | None = None,
-                    ) -> DataFrame:
+                    staged: bool = False) -> DataFrame:
     """Rows whose weight is among the ``n`` largest, ties kept.
 
     The n-th largest weight is found with at most ``n`` rows per task and
     group; rows are then filtered where they are, so even a tie held by most
-    rows stays spread out.
+    rows stays spread out.  The input is read twice and therefore written once,
+    unless it is ``staged`` already.
     """
     by = by or []
     known = df.filter(F.col(weight).isNotNull())
+    if not staged:
+        known = cut_lineage(known, "ranked")
     if not by:
         cut = known.select(weight).orderBy(F.desc(weight)).limit(n)
         return known.filter(F.col(weight) >= cut.agg(F.min(weight)).scalar())

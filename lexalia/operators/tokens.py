@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexalia.functions.text import (
-    NOISE, PUNCTUATION, clean_text, is_noise, noise_pattern, tokenise)
+from lexalia.functions.text import NOISE, clean_text, is_noise, tokenise
 from lexalia.sources.wordlists import date_words, salutations, stop_words, word_frame
 
 
@@ -19,14 +18,9 @@ def token_rows(docs: DataFrame, keys: list[str], text: str, every_url: bool = Fa
     A document left without tokens keeps one row with an empty token.
     """
     tokens = tokenise(clean_text(F.col(text), every_url))
-    placed = F.transform(tokens, lambda t, i: F.struct(i.cast("long").alias("pos"),
-                                                       t.alias("ORG")))
-    kept = F.filter(placed, lambda t: ~t["ORG"].rlike(PUNCTUATION))
-    empty = F.struct(F.lit(None).cast("long").alias("pos"), F.lit("").alias("ORG"))
-    filled = F.when(F.size("_t") == 0, F.array(empty)).otherwise(F.col("_t"))
-    return (docs.withColumn("_t", kept)
-            .select(*keys, F.explode(filled).alias("_t"))
-            .select(*keys, "_t.pos", "_t.ORG"))
+    rows = docs.select(*keys, F.posexplode_outer(tokens).alias("_pos", "_token"))
+    return rows.select(*keys, F.col("_pos").cast("long").alias("pos"),
+                       F.coalesce("_token", F.lit("")).alias("ORG"))
 
 
 def lemmatise(tokens: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -82,9 +76,8 @@ def clean_lemma_array(text: Column, words: list[str] | None = None) -> Column:
     would give without a dictionary, but needs no shuffle.
     """
     dropped = date_words() + (stop_words() if words is None else words) + salutations()
-    noise = "(" + PUNCTUATION + ")|(" + noise_pattern() + ")"
     lemmas = tokenise(F.lower(clean_text(text)))
-    return F.filter(lemmas, lambda t: ~t.rlike(noise) & ~t.isin(dropped))
+    return F.filter(lemmas, lambda t: ~is_noise(t) & ~t.isin(dropped))
 
 
 def rebuild_documents(tokens: DataFrame, keys: list[str], column: str = "TAGGED",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lexalia.operators.aggregates import join_values
 from lexalia.operators.pairs import pairs_sharing_key
 from lexalia.operators.ranking import first_n_per_group
+from lexalia.session import cut_lineage
 from lexalia.sources.wordlists import stop_words
 
 
@@ -60,8 +61,8 @@ def dtm_from_text(docs: DataFrame, text_col: str, id_cols: list[str], ngrams: in
                   words: list[str] | None = None) -> DataFrame:
     """``id_cols, term, n``: counts of words and word pairs per document.
 
-    A document's occurrences sit in one task, so the counts are complete
-    before the shuffle.
+    A document's occurrences sit in one task.  Where ``docs`` is already
+    distributed by ``id_cols``, counting needs no shuffle at all.
     """
     terms = document_terms(docs, id_cols, text_col, ngrams, words)
     return terms.groupBy(*id_cols, "term").agg(F.count("*").alias("n"))
@@ -117,6 +118,7 @@ def tfidf(dtm: DataFrame, freq: DataFrame, by: list[str]) -> DataFrame:
 
 def unit_length(weights: DataFrame, keys: list[str]) -> DataFrame:
     """Divide by the document's L2 norm; documents without weight drop out."""
+    weights = cut_lineage(weights, "weights")
     norms = weights.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
     scaled = weights.join(norms.filter(F.col("_norm") > 0), keys)
     return scaled.withColumn("w", F.col("w") / F.col("_norm")).drop("_norm")
@@ -153,6 +155,7 @@ def cosine_pairs(unit: DataFrame, by: list[str], doc: str, min_sim: float,
     still allows the threshold, and is then scored on the whole vectors.
     """
     slack = 1e-9
+    unit = cut_lineage(unit.select(*by, doc, "term", "doc_freq", "w"), "unit")
     rare_first = Window.partitionBy(*by, doc).orderBy("doc_freq", "term").rowsBetween(
         Window.unboundedPreceding, -1)
     rest = 1.0 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(rare_first), F.lit(0.0))
@@ -161,12 +164,15 @@ def cosine_pairs(unit: DataFrame, by: list[str], doc: str, min_sim: float,
         .filter(F.col("rest") >= min_sim - slack)
         .select(*by, doc, "term", "rest")
     )
+    leading = cut_lineage(leading, "leading")
     candidates = (
         pairs_sharing_key(leading, [*by, "term"], doc, ["rest"], block_rows)
         .filter(F.col("rest_a") * F.col("rest_b") >= min_sim - slack)
         .select(*by, "id_a", "id_b").distinct()
     )
-    vectors = unit.groupBy(*by, doc).agg(
+    candidates = cut_lineage(candidates, "candidates")
+    wanted = candidates.select(*by, F.explode(F.array("id_a", "id_b")).alias(doc)).distinct()
+    vectors = unit.join(wanted, [*by, doc], "left_semi").groupBy(*by, doc).agg(
         F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
     left = vectors.select(*by, F.col(doc).alias("id_a"), F.col("v").alias("va"))
     right = vectors.select(*by, F.col(doc).alias("id_b"), F.col("v").alias("vb"))
@@ -184,7 +190,7 @@ def cosine_pairs(unit: DataFrame, by: list[str], doc: str, min_sim: float,
 def corpus_probability(dtm: DataFrame, by: list[str]) -> DataFrame:
     """``by, term, p``: share of each term in all occurrences of the group."""
     counts = dtm.groupBy(*by, "term").agg(F.sum("n").alias("term_freq"))
-    return _share(counts, by)
+    return _share(cut_lineage(counts, "counts"), by)
 
 
 def _share(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -201,7 +207,8 @@ def cluster_lift(dtm: DataFrame, by: list[str], cluster: str) -> DataFrame:
 
     ``dtm`` carries the cluster of each document.
     """
-    in_cluster = dtm.groupBy(*by, cluster, "term").agg(F.sum("n").alias("term_freq"))
+    in_cluster = cut_lineage(
+        dtm.groupBy(*by, cluster, "term").agg(F.sum("n").alias("term_freq")), "counts")
     inside = _share(in_cluster, [*by, cluster]).withColumnRenamed("p", "p_cluster")
     overall = corpus_probability(in_cluster.withColumnRenamed("term_freq", "n"), by)
     return (inside.join(overall.select(*by, "term", "p"), [*by, "term"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexalia.functions.text import NOISE, PUNCTUATION, TOKEN, URL
+from lexalia.functions.text import NOISE, TOKEN, URL
 from lexalia.operators.tokens import (
     clean_lemma_array, clean_tokens, lemmatise, token_rows)
 from lexalia.operators.vectors import dtm_from_text
@@ -50,9 +50,17 @@ def tagged_clean(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     return clean_tokens(tagged(spark, folder, *extra).filter(F.col("TAGGED") != ""))
 
 
-def clean_documents(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
-    """Documents rebuilt from their cleaned lemmas, without a shuffle."""
-    docs = corpus(spark, folder, spread=True)
+def clean_documents(spark: SparkSession, folder: str, *extra: str, keyed: bool = False
+                    ) -> DataFrame:
+    """Documents rebuilt from their cleaned lemmas, inside the row.
+
+    ``keyed`` distributes the raw texts by document first.  Counts per document
+    and term then need no shuffle, and the texts are several times smaller than
+    the counts would be.
+    """
+    docs = corpus(spark, folder, spread=not keyed)
+    if keyed:
+        docs = docs.repartition(*KEYS)
     words = clean_lemma_array(F.col("CONTENT"))
     # Exploding the words as a list of at most one array drops empty documents
     # without working the words out once more for a filter.
@@ -62,7 +70,7 @@ def clean_documents(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
 
 
 def corpus_dtm(spark: SparkSession, folder: str, *extra: str, ngrams: int = 2) -> DataFrame:
-    docs = clean_documents(spark, folder, *extra)
+    docs = clean_documents(spark, folder, *extra, keyed=True)
     return dtm_from_text(docs, "CONTENT", [*KEYS, *extra], ngrams)
 
 
@@ -112,7 +120,6 @@ tagged AS (
   SELECT period, "ID", date, "AUTHOR_CLEAN", party, lang, pos, "ORG", lower("ORG") AS "TAGGED"
   FROM (SELECT period, "ID", date, "AUTHOR_CLEAN", party, lang, unnest(ts) AS "ORG",
                (generate_subscripts(ts, 1) - 1)::BIGINT AS pos FROM pieces)
-  WHERE NOT regexp_matches("ORG", {_text(PUNCTUATION)})
 )"""
 
 CLEAN_SQL = f"""{TAGGED_SQL},

@@ -10,6 +10,7 @@ from lexalia.operators.ranking import top_n_with_ties
 from lexalia.operators.tokens import clean_tokens, lemmatise, rebuild_documents, token_rows
 from lexalia.plans import corpus as base
 from lexalia.plans.registry import query
+from lexalia.session import cut_lineage
 from lexalia.sources.tables import load, load_spread
 from lexalia.sources.wordlists import stop_words
 
@@ -181,7 +182,7 @@ def volatile_terms(spark: SparkSession, folder: str) -> DataFrame:
 SELECT "TAGGED", date, "count", n_ids FROM days
 WHERE "TAGGED" IN (SELECT "TAGGED" FROM top)""")
 def term_series(spark: SparkSession, folder: str) -> DataFrame:
-    days = _term_days(spark, folder)
+    days = cut_lineage(_term_days(spark, folder), "days")
     return stats.term_series(days, stats.peak_terms(days, "count", 10, "count_mx"))
 
 
@@ -236,17 +237,19 @@ def corpus_prob(spark: SparkSession, folder: str) -> DataFrame:
 SELECT period, "ID", d.term, n, round(n * idf, 9) AS w
 FROM dtm d JOIN freq f USING (period, term) WHERE idf > 0""")
 def tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    # Frequencies come from the text again: cheaper than shuffling the counts twice.
-    counts = base.corpus_dtm(spark, folder)
-    weighted = vectors.tfidf(counts, _freq_by_period(spark, folder), ["period"])
+    counts = cut_lineage(base.corpus_dtm(spark, folder), "dtm")
+    n_docs = vectors.document_counts(base.clean_documents(spark, folder), ["period"])
+    freq = vectors.term_doc_freq(counts, n_docs, ["period"])
+    weighted = vectors.tfidf(counts, freq, ["period"])
     return weighted.select("period", "ID", "term", "n", F.round("w", 9).alias("w"))
 
 
 def _unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Unit TF-IDF vectors of the distinct texts of each period."""
     docs = base.clean_documents(spark, folder)
-    single = vectors.collapse_copies(docs, ["period"], "ID", "CONTENT")
-    counts = vectors.dtm_from_text(single, "CONTENT", ["period", "ID", "copies"])
+    single = vectors.collapse_copies(docs, ["period"], "ID", "CONTENT").repartition(*KEYS)
+    counts = cut_lineage(
+        vectors.dtm_from_text(single, "CONTENT", ["period", "ID", "copies"]), "dtm")
     freq = vectors.term_doc_freq(counts, vectors.document_counts(docs, ["period"]),
                                  ["period"], F.col("copies"))
     return vectors.unit_length(vectors.tfidf(counts, freq, ["period"]), KEYS)
@@ -285,7 +288,7 @@ def _labelled_dtm(spark: SparkSession, folder: str) -> DataFrame:
     labels = load(spark, folder, "labels").select(
         F.col("doc_id").alias("ID"),
         (F.col("quality") * 2 + F.col("toxic")).cast("long").alias("cluster"))
-    docs = base.clean_documents(spark, folder).join(labels, "ID")
+    docs = base.clean_documents(spark, folder, keyed=True).join(labels, "ID")
     return vectors.dtm_from_text(docs, "CONTENT", ["period", "ID", "cluster"])
 
 
@@ -306,7 +309,7 @@ sizes AS (SELECT cluster, count(DISTINCT "ID") AS size FROM ldtm GROUP BY cluste
 SELECT cluster, any_value(size) AS size, string_agg(term, ', ' ORDER BY rn) AS top_words
 FROM ranked JOIN sizes USING (cluster) WHERE rn <= 5 GROUP BY cluster""")
 def cluster_lift(spark: SparkSession, folder: str) -> DataFrame:
-    counts = _labelled_dtm(spark, folder)
+    counts = cut_lineage(_labelled_dtm(spark, folder), "dtm")
     sizes = counts.groupBy("cluster").agg(F.countDistinct("ID").alias("size"))
     lift = vectors.cluster_lift(counts, [], "cluster")
     return vectors.cluster_summary(lift, sizes, [], "cluster")
