@@ -46,6 +46,8 @@ def closeness(edges: DataFrame, by: list[str], passes: int = 1) -> DataFrame:
     """``by, member, closeness = 1 / sum of distances`` over reachable vertices."""
     parts = []
     for _, levels in _passes(edges, by, passes):
+        if len(levels) == 1:  # a pass without sources
+            continue
         reached = reduce(DataFrame.unionByName, [
             level.select(*by, "s", F.lit(d).alias("dist"))
             for d, level in enumerate(levels) if d > 0])

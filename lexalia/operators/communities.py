@@ -8,8 +8,9 @@ the next, smaller graph.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from lexalia.operators.aggregates import number_within
 from lexalia.operators.network import both_directions
 from lexalia.session import cut_lineage
 
@@ -121,7 +122,6 @@ def find_communities(edges: DataFrame, by: list[str], max_levels: int = 5, round
 
 def _number_classes(member: DataFrame, by: list[str]) -> DataFrame:
     firsts = member.groupBy(*by, "c").agg(F.min("name").alias("_first"))
-    order = Window.partitionBy(*by).orderBy("_first")
-    numbered = firsts.withColumn("modularity_class", F.row_number().over(order).cast("long"))
+    numbered = number_within(firsts, by, ["_first"], "modularity_class")
     return member.join(numbered.drop("_first"), [*by, "c"]).select(
         *by, "name", "modularity_class")

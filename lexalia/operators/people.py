@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexalia.functions.names import party_short, short_name
 from lexalia.operators.aggregates import count_distinct, join_values
 
 
-def first_match(lookup: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the first in ``order``."""
-    spec = Window.partitionBy(*keys).orderBy(*order)
-    return lookup.withColumn("_rn", F.row_number().over(spec)).filter("_rn = 1").drop("_rn")
+def first_match(lookup: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per key, the one with the smallest ``order`` value.
+
+    An aggregate, so a key with very many rows is reduced before the shuffle.
+    """
+    rest = [c for c in lookup.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.col(order)).alias("_row")
+    return lookup.groupBy(*keys).agg(best).select(*keys, "_row.*")
 
 
 def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, column: str,
                     value: str = "override") -> DataFrame:
     """Replace ``column`` where the key has an override; the first one counts."""
-    single = first_match(overrides, [key], [F.asc(value)])
+    single = first_match(overrides.select(key, value), [key], value)
     return (df.join(single, key, "left")
             .withColumn(column, F.coalesce(value, column)).drop(value))
 

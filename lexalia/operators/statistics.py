@@ -41,12 +41,21 @@ def after_end_summary(docs: DataFrame, bounds: DataFrame) -> DataFrame:
                     F.median("d").alias("median_days"), F.max("d").alias("max_days"))
 
 
-def term_days(tokens: DataFrame, docs: DataFrame, term: str = "TAGGED") -> DataFrame:
-    """``term, date, count, n_ids``: occurrences and documents per term and day."""
-    per_doc = tokens.groupBy("period", "ID", term).agg(F.count("*").alias("_n"))
-    dated = per_doc.join(docs.select("period", "ID", "date"), ["period", "ID"], "left")
-    return dated.groupBy(term, "date").agg(
-        F.sum("_n").alias("count"), F.countDistinct("ID").alias("n_ids"))
+def term_days(tokens: DataFrame, docs: DataFrame | None = None, term: str = "TAGGED"
+              ) -> DataFrame:
+    """``term, date, count, n_ids``: occurrences and documents per term and day.
+
+    Tokens carry ``period, ID`` and either ``date`` or get it from ``docs``.
+    Each document is reduced to one row per term first, so documents are
+    counted, not compared.
+    """
+    if docs is None:
+        per_doc = tokens.groupBy("period", "ID", "date", term).agg(F.count("*").alias("_n"))
+    else:
+        per_doc = (tokens.groupBy("period", "ID", term).agg(F.count("*").alias("_n"))
+                   .join(docs.select("period", "ID", "date"), ["period", "ID"], "left"))
+    return per_doc.groupBy(term, "date").agg(
+        F.sum("_n").alias("count"), F.count("*").alias("n_ids"))
 
 
 def peak_terms(days: DataFrame, measure: str, n: int, name: str, term: str = "TAGGED"

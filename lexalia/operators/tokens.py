@@ -42,8 +42,8 @@ def lemmatise_with(tokens: DataFrame, lemma_of: Callable[[str], str]) -> DataFra
     """As ``lemmatise`` with an outside lemmatiser, called on Arrow batches."""
     @F.pandas_udf("string")
     def apply(words: pd.Series) -> pd.Series:
-        forms = {w: lemma_of(w) for w in words.dropna().unique()}
-        return words.map(forms)
+        lemmas = {w: lemma_of(w) for w in words.dropna().unique()}
+        return pd.Series([lemmas.get(w) for w in words], dtype=object)
 
     return tokens.withColumn("TAGGED", apply("ORG"))
 

@@ -69,6 +69,13 @@ def clean_documents(spark: SparkSession, folder: str, *extra: str, keyed: bool =
         *KEYS, *extra, F.array_join("_w", " ").alias("CONTENT"))
 
 
+def clean_terms(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
+    """``period, ID, TAGGED`` rows, distributed by document."""
+    docs = corpus(spark, folder).repartition(*KEYS)
+    words = clean_lemma_array(F.col("CONTENT"))
+    return docs.select(*KEYS, *extra, F.explode(words).alias("TAGGED"))
+
+
 def corpus_dtm(spark: SparkSession, folder: str, *extra: str, ngrams: int = 2) -> DataFrame:
     docs = clean_documents(spark, folder, *extra, keyed=True)
     return dtm_from_text(docs, "CONTENT", [*KEYS, *extra], ngrams)

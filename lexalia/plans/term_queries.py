@@ -141,8 +141,7 @@ def document_rebuild(spark: SparkSession, folder: str) -> DataFrame:
 # --- terms over time -------------------------------------------------------
 
 def _term_days(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = base.tagged_clean(spark, folder)
-    return stats.term_days(tokens, base.corpus(spark, folder))
+    return stats.term_days(base.clean_terms(spark, folder, "date"))
 
 
 _DAYS_SQL = f"""{base.CLEAN_SQL},

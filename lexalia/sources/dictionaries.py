@@ -9,7 +9,7 @@ OVERRIDE_TYPE = "map<string, array<string>>"
 
 
 def _whole_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("json"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
 
 
 def flatten_roster(df: DataFrame, json: str = "json") -> DataFrame:

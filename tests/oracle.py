@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
 import duckdb
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 from lexalia.plans import registry
 
@@ -73,7 +75,13 @@ def main(argv: list[str]) -> int:
     folder = argv[0]
     registry.load_all()
     names = argv[1:] or list(registry.QUERIES)
-    spark = build_session(cores="8")
+    if names == ["sql"]:
+        names = list(registry.SQL)
+    if os.environ.get("ORACLE_PLAIN"):  # a session without our settings
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session(cores="8")
     con = duck(folder)
     bad = 0
     for name in names:
