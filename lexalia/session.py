@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SHARED_DIR_CONF = "spark.checkpoint.dir"
-_SMALL_SCAN_BYTES = 1 << 30
 
 
 def build_session(app: str = "lexalia", cores: str = "*", shuffle_partitions: int = 8,
@@ -73,13 +72,11 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Use every core when a small input sits in fewer files than cores.
+    """Use every core when an input splits into fewer tasks than cores.
 
-    Only inputs below 1 GiB are redistributed; larger ones already split into
-    enough tasks and must not pay for a shuffle of raw text.
+    Spark splits at ``spark.sql.files.maxPartitionBytes``, so this only ever
+    moves inputs smaller than that many bytes per core; larger ones keep their
+    splits and pay for no shuffle of raw text.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < _SMALL_SCAN_BYTES and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
