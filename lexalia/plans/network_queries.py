@@ -304,7 +304,32 @@ def closeness_z(spark: SparkSession, folder: str) -> DataFrame:
     return _period_columns(zscore_within(scores, "closeness", BY, "cc"), "cc")
 
 
-@query("betweenness_z")
+# Walks of length k between two vertices; at their distance all walks are shortest paths.
+_WALKS_SQL = ", ".join(
+    ["w1 AS (SELECT period, src AS s, dst AS t, 1::DOUBLE AS n FROM arcs)"]
+    + [f"""w{k} AS (SELECT w.period, s, dst AS t, sum(n) AS n FROM w{k - 1} w
+       JOIN arcs a ON a.period = w.period AND a.src = w.t GROUP BY ALL)""" for k in range(2, 13)])
+_ALL_WALKS_SQL = " UNION ALL ".join(
+    f"SELECT period, s, t, {k} AS k, n FROM w{k}" for k in range(1, 13))
+
+_BETWEEN_SQL = f"""WITH {GRAPH_SQL},
+arcs AS MATERIALIZED (SELECT period, src, dst FROM graph
+  UNION ALL SELECT period, dst, src FROM graph), {_WALKS_SQL},
+sp AS MATERIALIZED (SELECT period, s, t, min(k) AS d, arg_min(n, k) AS sigma
+  FROM ({_ALL_WALKS_SQL}) WHERE s <> t GROUP BY ALL),
+b AS (SELECT x.period, x.t AS member, sum(x.sigma * y.sigma / p.sigma) / 2 AS b
+  FROM sp x JOIN sp y ON y.period = x.period AND y.s = x.t
+  JOIN sp p ON p.period = x.period AND p.s = x.s AND p.t = y.t AND p.d = x.d + y.d GROUP BY ALL),
+f AS (SELECT v.period, name AS member, coalesce(b, 0) AS betweenness
+  FROM (SELECT DISTINCT period, src AS name FROM arcs) v
+  LEFT JOIN b ON b.period = v.period AND b.member = v.name),
+z AS (SELECT period, member, (betweenness - avg(betweenness) OVER w)
+        / nullif(stddev_samp(betweenness) OVER w, 0) AS cc
+      FROM f WINDOW w AS (PARTITION BY period)),
+{_CLOSE_SQL[_CLOSE_SQL.index("m AS (SELECT member"):]}"""
+
+
+@query("betweenness_z", _BETWEEN_SQL)
 def betweenness_z(spark: SparkSession, folder: str) -> DataFrame:
     scores = betweenness(_graph(spark, folder), BY)
     return _period_columns(zscore_within(scores, "betweenness", BY, "bc"), "bc")
