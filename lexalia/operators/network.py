@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexalia.operators.aggregates import exact_quantiles, join_values
 from lexalia.operators.pairs import pairs_sharing_key
-from lexalia.operators.ranking import percent_share, top_n_with_ties, with_group_stats
+from lexalia.operators.ranking import percent_share, top_n_with_ties
 
 
 def group_terms(tokens: DataFrame, by: list[str], group: str, lemma: str = "TAGGED"
@@ -207,7 +207,3 @@ def consistent_members(scores: DataFrame, member: str, period: str, score: str,
     wide = (scores.join(best.select(member, "mean_score"), member)
             .groupBy(member, "mean_score").pivot(period, periods).agg(F.first(score)))
     return wide
-
-
-def attach_group_stats(df: DataFrame, by: list[str], **stats: Column) -> DataFrame:
-    return with_group_stats(df, by, **stats)
