@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,22 +34,30 @@ def build_session(app: str = "lexalia", cores: str = "*", shuffle_partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
+    """This application's folder below ``spark.checkpoint.dir``.
 
-    A folder of our own is made only for a local master with the setting
-    unset; on a cluster a machine-local folder would be wrong, so that fails.
+    Where that is not set, a folder in the warehouse, which all executors reach as well. Spark
+    removes the folder when the application ends.
     """
-    configured = spark.conf.get(_SHARED_DIR_CONF, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_SHARED_DIR_CONF} to a folder all executors can reach")
-    return _local_dir(spark.sparkContext.applicationId)
+    base = spark.conf.get(_SHARED_DIR_CONF, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+    return _own_folder(spark, f"{base.rstrip('/')}/{spark.sparkContext.applicationId}")
 
 
-@functools.cache
-def _local_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="lexalia-")
+_folders: set[str] = set()
+
+
+def _own_folder(spark: SparkSession, folder: str) -> str:
+    if folder not in _folders:
+        files, path = _file_system(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders.add(folder)
+    return folder
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
@@ -59,16 +65,29 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
+def cut_lineage(df: DataFrame, label: str = "stage", replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Survives lost executors, keeps columns prunable and gives the optimiser
     real sizes for the next joins, so iterative operators re-plan each round.
+    ``replaces`` names a table of this kind that nothing reads any more: its
+    files go, so a loop keeps one state on disk.
     """
     spark = df.sparkSession
     path = staging_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    drop_stage(replaces)
+    return out
+
+
+def drop_stage(df: DataFrame | None) -> None:
+    """Delete the files of a table written by ``cut_lineage`` that is not needed any more."""
+    path = getattr(df, "stage_path", None) if df is not None else None
+    if path:
+        files, where = _file_system(df.sparkSession, path)
+        files.delete(where, True)
 
 
 def spread_small_scan(df: DataFrame) -> DataFrame:
