@@ -87,8 +87,9 @@ def line_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text
     keys = R.keyed(docs, id_col, text_col)
     found = R.stage(windows(keys, size), "line-windows")
     place = F.struct("_id", *R.KEY, "_at")
-    firsts = (found.groupBy("_wa", "_wb").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
-              .where("_n > 1"))
+    firsts = found.groupBy("_wa", "_wb").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
+    # Written, so that the join deals out both sides and Spark can split a window with many places.
+    firsts = R.stage(firsts.where("_n > 1"), "first-places")
     later = found.join(firsts, ["_wa", "_wb"]).where(place != F.col("_first"))
     per_doc = later.groupBy(*R.KEY).agg(F.collect_set("_at").alias("_later"))
 

@@ -198,21 +198,25 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``_id``, key, ``_fp`` and ``_root``, the smallest fingerprint of the component."""
+def classes(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Documents (``_id``, key, ``_fp``), and the ``_root`` (smallest fingerprint) of each fingerprint's component.
+
+    Both are written tables, so that Spark can split a fingerprint which many documents have.
+    """
     marks = R.stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = R.stage(marks.select("_fp").distinct(), "classes")
-    roots = components(links(distinct, radius))
+    distinct = R.stage(marks.groupBy("_fp").agg(F.min("_id").alias("_low")), "classes")
+    roots = components(links(distinct.select("_fp"), radius))
     named = distinct.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
-    return marks.join(named, "_fp")
+    return marks, R.stage(named, "roots", replaces=distinct)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``id_col, fingerprint`` (16 hexadecimal digits), ``component_id`` of every document."""
-    found = classes(docs, radius, shingle, id_col, text_col)
-    lowest = found.groupBy("_root").agg(F.min("_id").alias("_component"))
-    return found.join(lowest, "_root").select(
+    marks, named = classes(docs, radius, shingle, id_col, text_col)
+    lowest = named.groupBy("_root").agg(F.min("_low").alias("_component"))
+    components_of = R.stage(named.join(lowest, "_root").select("_fp", "_component"), "components")
+    return marks.join(components_of, "_fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
         F.col("_component").alias("component_id"))
 
@@ -220,8 +224,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component: its smallest id, and one row of that."""
-    found = classes(docs, radius, shingle, id_col, text_col)
-    chosen = (found.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", *R.KEY)).alias("_one"))
+    marks, named = classes(docs, radius, shingle, id_col, text_col)
+    order = F.struct(F.col("_id").isNull().alias("n"), "_id", *R.KEY)
+    firsts = marks.groupBy("_fp").agg(F.min(order).alias("_first"))
+    chosen = (firsts.join(named, "_fp").groupBy("_root").agg(F.min("_first").alias("_one"))
               .select("_one._h", "_one._g"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *R.key(id_col, text_col))
     return rows.join(chosen, R.KEY).dropDuplicates(R.KEY).select("_row.*")

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexalia.llm.rows import stage
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _AUTHORITY = "^[^/?#]*"
 PREFIX_HEX = 8
@@ -83,6 +85,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url",
              .agg(F.max(F.struct(F.length(F.concat("_rh", "_rp")).alias("n"), F.length("_rh").alias("h"),
                                  F.concat("_rh", "_rp").alias("rule"), F.col("_v").alias("verdict")))
                   .alias("_best")))
+    # Written, so that the join deals out both sides and Spark can split a url with many rows.
+    found = stage(found, "judged-urls")
     host, path = host_and_path(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return (pages.join(found, pages[url_col] == found["_url"], "left")
