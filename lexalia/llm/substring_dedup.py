@@ -155,15 +155,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         raise ValueError(f"window must be from {ANCHOR} to {_PACK + ANCHOR - 1} words")
     docs = R.keyed(docs, id_col, text_col)
     found = blocks(docs, window)
-    indexed = found.groupBy("_a").count().where("count > 1").select("_a")
+    # What the joins meet is written, so that they deal out both sides and Spark can split a hot anchor.
+    indexed = R.stage(found.groupBy("_a").count().where("count > 1").select("_a"), "anchors")
     shared = R.stage(found.join(indexed, "_a", "left_semi"), "shared-blocks")
-    distinct = shared.groupBy("_a", "_b").agg(
-        F.count("*").alias("_n"), F.min(F.struct(*R.KEY, "_at")).alias("_one"))
-    several = distinct.groupBy("_a").count().where("count > 1").select("_a")
+    distinct = R.stage(shared.groupBy("_a", "_b").agg(
+        F.count("*").alias("_n"), F.min(F.struct(*R.KEY, "_at")).alias("_one")), "distinct-blocks")
+    several = R.stage(distinct.groupBy("_a").count().where("count > 1").select("_a"), "boundary-anchors")
     chosen = distinct.join(several, "_a", "left_semi").select(
         "_one._h", "_one._g", "_one._at", (F.col("_n") == 1).alias("_alone"))
     windows = R.stage(boundary_windows(docs, chosen, window), "boundary-windows")
-    repeated = windows.groupBy("_wa", "_wb").count().where("count > 1").select("_wa", "_wb")
+    repeated = R.stage(windows.groupBy("_wa", "_wb").count().where("count > 1").select("_wa", "_wb"), "repeated")
     inside = (windows.where("_alone").join(repeated, ["_wa", "_wb"], "left_semi")
               .select(*R.KEY, F.col("_start").alias("_from"), (F.col("_start") + window).alias("_to")))
     start = F.floor(F.col("_at") / _PACK)
