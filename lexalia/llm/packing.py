@@ -21,8 +21,8 @@ stand; rows of equal id, piece and content are interchangeable. An empty table h
 from __future__ import annotations
 
 import functools
-import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,13 +36,13 @@ from lexalia.llm import rows as R, words as W
 CAPACITY, END = 2048, 0
 SALTS = 256
 PLAN_ROWS = 4_000_000
-_CACHE, _CACHED_BYTES = 400_000, 64
+_CACHE, _CACHED_BYTES = 800_000, 48
 _PLAIN = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}]+")
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
-class WordTokenizer:
-    """Ids of a text whose tokenizer never joins what white space parts.
+class WordTokenizer(dict):
+    """Ids of words (as 32-bit numbers), for a tokenizer that never joins what white space parts.
 
     Words are looked up, first whole, then by their letter, digit and sign parts; only unseen parts
     reach the tokenizer's model. Words with rarer characters take the tokenizer's own full path.
@@ -50,45 +50,47 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        super().__init__()
         self._full = Tokenizer.from_file(path)
         self._model = self._full.model
-        self._words: dict[bytes, tuple[int, ...]] = {}
-        self._parts: dict[str, tuple[int, ...]] = {}
+        self._parts: dict[str, bytes] = {}
         letters = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in set(letters)]
         table = {b: chr(b) for b in letters} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self._chars = [table[b] for b in range(256)]
 
-    def _part(self, part: str) -> tuple[int, ...]:
+    def _part(self, part: str) -> bytes:
         ids = self._parts.get(part)
         if ids is None:
-            chars = part if part.isascii() else "".join(self._chars[b] for b in part.encode())
-            ids = tuple(t.id for t in self._model.tokenize(chars))
+            chars = part if part.isascii() else "".join([self._chars[b] for b in part.encode()])
+            ids = array("I", [t.id for t in self._model.tokenize(chars)]).tobytes()
             if len(self._parts) >= _CACHE:
                 self._parts.clear()
             if len(part) <= _CACHED_BYTES:
                 self._parts[part] = ids
         return ids
 
-    def _word(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
-        if (b"<|" in word or max(text) >= "ɐ" or not _PLAIN.fullmatch(text)
-                or not unicodedata.is_normalized("NFC", text)):
-            ids = tuple(self._full.encode(text, add_special_tokens=False).ids)
+        # Below U+0250 every letter, digit and sign is its own normal form.
+        near = word.isascii() or max(text) < "\u0250"
+        low = text.lower() if near else text
+        if near and low.isalpha():
+            ids = self._part(low)
+        elif near and low[:-1].isalpha() and low[-1] in ".,":
+            ids = self._part(low[:-1]) + self._part(low[-1])
+        elif near and b"<|" not in word and _PLAIN.fullmatch(low):
+            ids = b"".join([self._part(p) for p in _PARTS.findall(low)])
         else:
-            ids = sum((self._part(p) for p in _PARTS.findall(text.lower())), ())
-        if len(self._words) >= _CACHE:
-            self._words.clear()
+            ids = array("I", self._full.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) >= _CACHE:
+            self.clear()
         if len(word) <= _CACHED_BYTES:
-            self._words[word] = ids
+            self[word] = ids
         return ids
 
     def ids(self, text: bytes) -> np.ndarray:
-        known, out = self._words, []
-        for word in text.split():
-            found = known.get(word)
-            out += self._word(word) if found is None else found
-        return np.array(out, np.uint32)
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), np.uint32)
 
 
 @functools.cache
@@ -109,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, tex
                 text = data.tobytes()
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
                 for d, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-                    ids = np.append(tokenizer.ids(text[a:b]), np.uint32(END)).astype("<u4")
+                    ids = np.append(tokenizer.ids(text[a:b]), np.uint32(END)).astype("<u4", copy=False)
                     for k, lo in enumerate(range(0, len(ids), capacity)):
                         own = ids[lo:lo + capacity]
                         row.append(d)
