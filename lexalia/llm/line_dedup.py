@@ -94,7 +94,7 @@ def line_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text
     per_doc = later.groupBy(*R.KEY).agg(F.collect_set("_at").alias("_later"))
 
     carried = [c for c in keep_columns if c not in (id_col, text_col)]
-    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], F.col(id_col).alias("_id"),
+    rows = R.bounded(docs).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], F.col(id_col).alias("_id"),
                        *R.key(id_col, text_col), F.col(text_col).cast("string").alias("_text"))
     rows = rows.join(per_doc, R.KEY, "left").select(
         *[f"_c{i}" for i in range(len(carried))], "_id", "_text", "_later")

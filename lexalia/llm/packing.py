@@ -36,7 +36,7 @@ from lexalia.llm import rows as R, words as W
 CAPACITY, END = 2048, 0
 SALTS = 256
 PLAN_ROWS = 4_000_000
-_CACHE, _CACHED_BYTES = 800_000, 48
+_CACHE, _CACHED_BYTES = 300_000, 48
 _PLAIN = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}]+")
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -101,7 +101,7 @@ def _tokenizer(path: str) -> WordTokenizer:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, text_col: str,
            keep_ids: bool = False) -> DataFrame:
     """``_id, piece, start, length, ids_crc32`` and, on demand, ``ids`` of every piece."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = R.bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)

@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = (labels.where(F.col(label_col).isin(0, 1)).where(R.crc_mod(F.col(id_col), FOLDS) != HELD_OUT)
               .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
               .orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE))
-    sample = R.stage(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    sample = R.stage(R.bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
                      .join(marked, "_id").select("_y", "_text"), "labelled").coalesce(8)
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                   label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col, held_out, score, predicted`` of every document."""
     model = fit(docs, labels, id_col, text_col, label_col)
-    rows = docs.select(F.col(id_col).alias("_id"), (R.crc_mod(F.col(id_col), FOLDS) == HELD_OUT).alias("_out"),
+    rows = R.bounded(docs).select(F.col(id_col).alias("_id"), (R.crc_mod(F.col(id_col), FOLDS) == HELD_OUT).alias("_out"),
                        F.col(text_col).cast("string").alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

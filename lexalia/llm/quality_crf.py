@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lexalia.llm import words as W
+from lexalia.llm import rows as R, words as W
 
 SAMPLE_DOCS, SAMPLE_LINES = 1000, 200
 KEEP_SHARE = 0.5
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .agg(F.max(label_col).cast("int").alias("_y"))
               .orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS))
     few_lines = F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"))) < SAMPLE_LINES
-    sample = (docs.where(few_lines).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    sample = (R.bounded(docs).where(few_lines).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
               .join(marked, "_id").select("_y", "_text"))
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     weights, transition = fit(docs, labels, id_col, text_col)
     carried = [id_col, *[c for c in keep_columns if c != id_col]]
-    rows = docs.select(*carried, F.col(text_col).cast("string").alias("_measured"))
+    rows = R.bounded(docs).select(*carried, F.col(text_col).cast("string").alias("_measured"))
     measured = [T.StructField(prefix + f.name, f.dataType) for f in _SCHEMA]
     names = [f.name for f in measured]
 

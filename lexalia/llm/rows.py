@@ -11,6 +11,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, after the session's Arrow batches have been held to 8 MB where it sets no lower bound.
+
+    By rows alone a batch of long texts has no bound in bytes.
+    """
+    conf = docs.sparkSession.conf
+    now = conf.get(_BATCH_BYTES).rstrip("bB")
+    if not now.isdigit() or int(now) > 8 << 20:
+        conf.set(_BATCH_BYTES, str(8 << 20))
+    return docs
+
+
 #: Two hashes of id and text, 96 bits together, by which operators join back to documents.
 KEY = ["_h", "_g"]
 
@@ -21,7 +36,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Rows equal in id and text share the key and so get the same result; rows with one id but
     different texts, or with a null id, stay apart.
     """
-    return docs.select(F.col(id_col).alias("_id"), *key(id_col, text_col),
+    return bounded(docs).select(F.col(id_col).alias("_id"), *key(id_col, text_col),
                        F.col(text_col).cast("string").alias("_text"))
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lexalia.llm import words as W
+from lexalia.llm import rows as R, words as W
 
 SAMPLE = 8000
 SLOTS = 1 << 20
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = (labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id"))
               .agg(F.max(label_col).cast("int").alias("_y"))
               .orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE))
-    sample = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    sample = (R.bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
               .join(marked, "_id").select("_y", "_text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                    label_col: str = "toxic") -> DataFrame:
     """``id_col, severity`` (0 to 3)``, grade`` (likeliest)``, toxic`` (grade 1 or more is likelier than not)."""
     model = fit(docs, labels, id_col, text_col, label_col)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = R.bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

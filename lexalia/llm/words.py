@@ -1,7 +1,7 @@
 """Texts of an Arrow batch as flat numpy arrays: words, word hashes, hashes of word spans.
 
 The per-task helpers of the operators in this package. A batch is walked in slices of
-about a megabyte, so memory does not depend on how many rows Spark puts into a batch.
+about half a megabyte, so memory does not depend on how many rows Spark puts into a batch.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BYTES = np.arange(256)
 
 
@@ -75,6 +75,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_KEPT = 1 << 19
+
+
 @functools.cache
 def _tables(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
@@ -87,8 +90,8 @@ def _tables(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = 1 << max(16, int(size).bit_length())
-    return _tables(base, up) if up <= 1 << 21 else _tables.__wrapped__(base, up)
+    """One kept table per base; longer ones are made for the occasion."""
+    return _tables(base, _KEPT) if size <= _KEPT else _tables.__wrapped__(base, size)
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
@@ -104,7 +107,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 
 BYTE_BASE, BASE_A, BASE_B = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
