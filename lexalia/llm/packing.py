@@ -170,7 +170,7 @@ def _best_two(lengths: _Lengths, room: int) -> int:
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[list[int], int]], dict[int, int]]:
     """Patterns fixed by dominance with their multiplicities, and the lengths that remain open."""
-    lengths, fixed, open_ = _Lengths(counts, capacity), [], defaultdict(int)
+    lengths, fixed = _Lengths(counts, capacity), []
     longest = capacity
     while longest := lengths.largest(longest):
         n = int(lengths.count[longest])
@@ -186,9 +186,8 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[l
             three = len(small) > 2 and sum(small[:3]) <= room
             dominates = beside == room or not two or not three and beside >= _best_two(lengths, room)
             lengths.count[longest] += 1
-            if not dominates:
-                open_[longest] += n
-                lengths.count[longest] = 0
+            if not dominates:  # it stays in the instance, where shorter pieces have to reckon with it
+                longest -= 1
                 continue
             # In bulk: with fewer pieces left the same argument holds until either length runs out.
             pattern = [longest, beside]
@@ -196,7 +195,7 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[l
         for length in pattern:
             lengths.count[length] -= times
         fixed.append((pattern, times))
-    return fixed, {k: v for k, v in open_.items() if v}
+    return fixed, {int(k): int(lengths.count[k]) for k in np.flatnonzero(lengths.count)}
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
