@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 # Fixed value: what counts as a web address when cleaning text.
-URL = (r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\(\),]"
-       r"|(?:%[0-9a-fA-F][0-9a-fA-F]))+")
+# One class of characters (%XX lies inside $-_): a repeated group would be matched by recursion.
+URL = r"http[s]?://[a-zA-Z0-9$-_@.&+!*(),]+"
 
 # A token is a number (with inner , . -), a word, or one other visible symbol;
 # what a tagger labels as punctuation is never taken up.
@@ -27,6 +27,15 @@ NOISE = {
 }
 
 
+def possessive(pattern: str) -> str:
+    """``URL`` or ``TOKEN`` matching the same strings without backtracking, so at any length.
+
+    DuckDB, which has no such form, takes the pattern as it is.
+    """
+    return (pattern.replace("[a-zA-Z0-9$-_@.&+!*(),]+", "[a-zA-Z0-9$-_@.&+!*(),]++")
+            .replace(r"[0-9]+(?:[.,\-][0-9]+)*", r"[0-9]++(?:[.,\-][0-9]++)*+"))
+
+
 def noise_pattern(rules: Iterable[str] = tuple(NOISE)) -> str:
     """One anchored alternation, so each token is matched once, not per rule."""
     return "^(" + "|".join(NOISE[r] for r in rules) + ")$"
@@ -49,8 +58,8 @@ def remove_marks(text: Column) -> Column:
 def remove_url(text: Column, every: bool = False) -> Column:
     """Drop the first web address, or every one."""
     if every:
-        return F.regexp_replace(text, URL, "")
-    return F.regexp_replace(text, rf"(?s)^(.*?){URL}", "$1")
+        return F.regexp_replace(text, possessive(URL), "")
+    return F.regexp_replace(text, rf"(?s)^(.*?){possessive(URL)}", "$1")
 
 
 def clean_text(text: Column, every_url: bool = False) -> Column:
@@ -64,7 +73,7 @@ def to_ascii(text: Column) -> Column:
 
 def tokenise(text: Column) -> Column:
     """Array of words, numbers and symbols in reading order, without punctuation."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(possessive(TOKEN)), F.lit(0))
 
 
 def last_chars(text: Column, n: int = 25) -> Column:

@@ -8,16 +8,16 @@ from lexalia.functions.text import NOISE, TOKEN, URL
 from lexalia.operators.tokens import (
     clean_lemma_array, clean_tokens, lemmatise, token_rows)
 from lexalia.operators.vectors import dtm_from_text
-from lexalia.sources.tables import load, load_spread
+from lexalia.sources.tables import load
 from lexalia.sources.wordlists import TERMS, date_words, salutations, stop_words
 
 KEYS = ["period", "ID"]
 PERIODS = [name for name, _, _ in TERMS]
 
 
-def corpus(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with date, period, author and party."""
-    return corpus_view((load_spread if spread else load)(spark, folder, "documents"))
+    return corpus_view(load(spark, folder, "documents"))
 
 
 def corpus_view(docs: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def corpus_view(docs: DataFrame) -> DataFrame:
 
 def tagged(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     """Token rows ``period, ID, pos, ORG, TAGGED`` of the whole corpus."""
-    docs = corpus(spark, folder, spread=True)
+    docs = corpus(spark, folder)
     return lemmatise(token_rows(docs, [*KEYS, *extra], "CONTENT"))
 
 
@@ -58,7 +58,7 @@ def clean_documents(spark: SparkSession, folder: str, *extra: str, keyed: bool =
     and term then need no shuffle, and the texts are several times smaller than
     the counts would be.
     """
-    docs = corpus(spark, folder, spread=not keyed)
+    docs = corpus(spark, folder)
     if keyed:
         docs = docs.repartition(*KEYS)
     words = clean_lemma_array(F.col("CONTENT"))

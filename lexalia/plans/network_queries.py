@@ -18,13 +18,13 @@ BY = ["period"]
 LANGS = ["de", "en", "es", "fr"]
 
 
-def _known(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
-    return base.corpus(spark, folder, spread).filter(F.col("party").isNotNull())
+def _known(spark: SparkSession, folder: str) -> DataFrame:
+    return base.corpus(spark, folder).filter(F.col("party").isNotNull())
 
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
     """Lemma counts per author; a text's lemmas are counted where the text is read."""
-    words = _known(spark, folder, spread=True).select(
+    words = _known(spark, folder).select(
         "period", F.col("AUTHOR_CLEAN").alias("AUTHOR"),
         F.explode(clean_lemma_array(F.col("CONTENT"))).alias("TAGGED"))
     return net.group_terms(words, BY, "AUTHOR")
@@ -36,9 +36,8 @@ def _edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges at or above the 90th percentile of weights of their period."""
-    return cut_lineage(net.heavy_edges(cut_lineage(_edges(spark, folder), "edges"), BY, 0.9),
-                       "graph")
+    """All edges of every period."""
+    return cut_lineage(_edges(spark, folder), "graph")
 
 
 def _parties(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,9 +64,7 @@ edges AS (SELECT a.period, a."AUTHOR" AS src, b."AUTHOR" AS dst, sum(a.w * b.w)
   FROM weights a JOIN weights b ON a.period = b.period AND a.lemma = b.lemma
    AND a."AUTHOR" < b."AUTHOR" WHERE a.w > 0 GROUP BY ALL)"""
 GRAPH_SQL = f"""{EDGES_SQL},
-graph AS (SELECT period, src, dst, weight FROM edges JOIN
-  (SELECT period, quantile_cont(weight, 0.9) AS cut FROM edges GROUP BY period) USING (period)
-  WHERE weight >= cut)"""
+graph AS (SELECT period, src, dst, weight FROM edges)"""
 PARTY_SQL = """parties AS (SELECT DISTINCT period, "AUTHOR_CLEAN" AS name, party FROM corpus
   WHERE party IS NOT NULL)"""
 

@@ -11,7 +11,7 @@ from lexalia.operators.tokens import clean_tokens, lemmatise, rebuild_documents,
 from lexalia.plans import corpus as base
 from lexalia.plans.registry import query
 from lexalia.session import cut_lineage
-from lexalia.sources.tables import load, load_spread
+from lexalia.sources.tables import load
 from lexalia.sources.wordlists import stop_words
 
 KEYS = base.KEYS
@@ -29,7 +29,7 @@ def _words() -> Column:
 
 
 def _frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    docs = load_spread(spark, folder, "documents").select("text")
+    docs = load(spark, folder, "documents").select("text")
     freq = vectors.term_frequencies(docs.select(_words().alias("words")), "words")
     return vectors.add_idf(freq, docs.agg(F.count("*").alias("n_docs")), [])
 
@@ -82,7 +82,7 @@ def clean_text_query(spark: SparkSession, folder: str) -> DataFrame:
 
 def _dictionary(spark: SparkSession, folder: str) -> DataFrame:
     """Forms that end in ``s`` and occur without it too, mapped to the shorter form."""
-    words = (load_spread(spark, folder, "documents")
+    words = (load(spark, folder, "documents")
              .select(F.explode(F.array_distinct(tokenise(F.lower("text")))).alias("form"))
              .filter(F.col("form").rlike(r"^[\p{L}]+$")).distinct())
     stems = words.filter(F.col("form").endswith("s") & (F.length("form") > 3)).select(
@@ -108,7 +108,7 @@ SELECT period, "ID", pos, "ORG", coalesce(lemma, f.form) AS "TAGGED"
 FROM filled f LEFT JOIN dictionary d ON f.form = d.form
 """)
 def lemmatise_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = token_rows(base.corpus(spark, folder, spread=True), KEYS, "CONTENT")
+    tokens = token_rows(base.corpus(spark, folder), KEYS, "CONTENT")
     return lemmatise(tokens, _dictionary(spark, folder)).select(
         "period", "ID", "pos", "ORG", "TAGGED")
 

@@ -88,14 +88,3 @@ def drop_stage(df: DataFrame | None) -> None:
     if path:
         files, where = _file_system(df.sparkSession, path)
         files.delete(where, True)
-
-
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Use every core when an input splits into fewer tasks than cores.
-
-    Spark splits at ``spark.sql.files.maxPartitionBytes``, so this only ever
-    moves inputs smaller than that many bytes per core; larger ones keep their
-    splits and pay for no shuffle of raw text.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

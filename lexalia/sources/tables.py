@@ -6,19 +6,12 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lexalia.session import spread_small_scan
-
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def load_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """As ``load``, using every core for a small single-file input."""
-    return spread_small_scan(load(spark, folder, name))
-
-
 def create_table(spark: SparkSession, name: str, schema: T.StructType,
                  location: str | None = None, partition_by: str = "period") -> bool:
     """Create an empty Parquet table; False when it is there already."""

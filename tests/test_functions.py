@@ -96,3 +96,15 @@ def test_outside_lemmatiser(spark):
     tokens = spark.createDataFrame([("Psy",), (None,)], "ORG string")
     rows = lemmatise_with(tokens, lambda w: w.lower()[:2]).collect()
     assert [r.TAGGED for r in rows] == ["ps", None]
+
+
+def test_long_addresses_and_numbers(spark):
+    """Patterns match a megabyte without recursion."""
+    from pyspark.sql import functions as F
+
+    from lexalia.functions.text import clean_text, tokenise
+
+    row = spark.range(1).select(
+        F.length(clean_text(F.concat(F.lit("x http://"), F.repeat(F.lit("a"), 1_000_000), F.lit(" y")))),
+        F.size(tokenise(F.repeat(F.lit("12,"), 500_000)))).first()
+    assert tuple(row) == (4, 1)
