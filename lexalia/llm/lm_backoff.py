@@ -1,10 +1,11 @@
 """LM scoring: a weighted backoff automaton of smoothed n-grams.
 
 Model. A token is a lower-cased (A-Z) word, or the end of the text. The unigram probability is
-additive, ``(c + 0.5) / (N + 0.5 (V + 1))``. An n-gram (n up to ``ORDER``) that makes up at least
-``NGRAM_SHARE`` of all training tokens is in the model with absolute discounting; what it discounts
-goes to the next lower order. This is the model's definition at any corpus size. As shares add up
-to one, it has at most ``1 / NGRAM_SHARE`` n-grams of each order.
+additive, ``(c + 0.5) / (N + 0.5 (V + 1))``. An n-gram (n up to ``ORDER``) that stands at least
+``NGRAM_SCALE * N ** (2 / 3)`` times is in the model with absolute discounting; what it discounts
+goes to the next lower order. This one rule holds at any corpus size. As counts add up to ``N``, the
+model has at most ``N ** (1 / 3) / NGRAM_SCALE`` n-grams of each order: it grows with the corpus, but
+slowly enough to be sent to the tasks (13 million at 100 TB, far fewer in practice).
 
 Automaton. Histories are states. A state has an arc for each of its n-grams, with the smoothed
 log-probability and the state of the longest history that follows, and a failure arc with the
@@ -12,10 +13,10 @@ backoff weight to its suffix. One traversal from left to right carries the state
 log-probabilities. Long texts are cut into lanes that begin ``ORDER - 1`` tokens early, which gives
 the same states.
 
-Every word counts exactly. Words with a share of at least ``WORD_SHARE`` (at most its reciprocal of
-them, 40 MB) are sent to the tasks. For the others, texts are joined to the table of counts: they
-are no part of any n-gram, so all they add is their unigram log-probability. Words are known by
-64-bit hashes.
+Every word counts exactly. Words that stand at least ``WORD_SCALE * N ** (2 / 3)`` times (at most
+``N ** (1 / 3) / WORD_SCALE`` of them) are sent to the tasks. For the others, texts are joined to the
+table of counts: they are no part of any n-gram, so all they add is their unigram log-probability.
+Words are known by 64-bit hashes.
 
 Counts come from all training rows by partial sums in the tasks and one shuffle for each order.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from lexalia.llm import rows as R, words as W
 
 ORDER, DISCOUNT = 3, 0.75
-WORD_SHARE, NGRAM_SHARE = 4e-7, 2e-5
+WORD_SCALE, NGRAM_SCALE = 0.0005, 0.002
 FOLDS, HELD_OUT = 5, 1
 LANE = 512
 _END = -2
@@ -235,10 +236,12 @@ class Automaton:
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
-                word_share: float = WORD_SHARE, ngram_share: float = NGRAM_SHARE) -> DataFrame:
+                word_scale: float = WORD_SCALE, ngram_scale: float = NGRAM_SCALE) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
     if not 1 <= order <= 3:
         raise ValueError("order must be 1, 2 or 3")
+    if word_scale > ngram_scale:
+        raise ValueError("words of n-grams must be sent to the tasks: word_scale is above ngram_scale")
     held = R.crc_mod(F.col("_id"), FOLDS) == HELD_OUT
     keys = R.keyed(docs, id_col, text_col)
     train = keys.where(~held)
@@ -246,15 +249,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_docs = train.count()
     total = counts.agg(F.sum("_c"), F.count("*")).first()
     tokens, distinct = (total[0] or 0) + n_docs, total[1] + (n_docs > 0)
-    frequent = counts.where(F.col("_c") >= word_share * tokens).toArrow()
+    size = max(tokens, 1) ** (2 / 3)
+    frequent = counts.where(F.col("_c") >= word_scale * size).toArrow()
     vocabulary = Vocabulary(frequent.column("_w").to_numpy(), frequent.column("_c").to_numpy())
     full = np.append(vocabulary.counts, n_docs)
     below = tokens + 0.5 * (distinct + 1)
     unigram = (full + 0.5) / below
-    usable = full >= ngram_share * max(tokens, 1)
+    least = ngram_scale * size
+    usable = full >= least
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(order - 1):
-        grams.append(ngram_counts(train, vocabulary, usable, [g for g, _ in grams], ngram_share * tokens))
+        grams.append(ngram_counts(train, vocabulary, usable, [g for g, _ in grams], least))
     automaton = Automaton(unigram, full, grams)
     log_unigram, seen = np.log10(unigram), full > 0
 

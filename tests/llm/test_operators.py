@@ -207,7 +207,7 @@ def test_quality_classifier(spark, docs):
     assert {r.score for r in quality_classifier.score_quality(docs, none).collect()} == {0.5}
 
 
-def _plain_lm(train, text, share):
+def _plain_lm(train, text, scale):
     """The same model with dictionaries: base and backoff log-probability."""
     grams = [Counter(), Counter(), Counter()]
     for t in train:
@@ -215,7 +215,7 @@ def _plain_lm(train, text, share):
             grams[n].update(tuple(t[k:k + n + 1]) for k in range(len(t) - n))
     total, distinct = sum(grams[0].values()), len(grams[0])
     below = total + 0.5 * (distinct + 1)
-    known = [grams[0]] + [{g: c for g, c in m.items() if c >= share * total} for m in grams[1:]]
+    known = [grams[0]] + [{g: c for g, c in m.items() if c >= scale * total ** (2 / 3)} for m in grams[1:]]
 
     def p(history, w):
         if not history:
@@ -236,13 +236,13 @@ def test_lm_scoring(spark):
     rows += [(30, None), (31, ""), (None, "the cat")]
     docs = spark.createDataFrame(rows, DOCS)
     lane, lm_backoff.LANE = lm_backoff.LANE, 7
-    got = {r.doc_id: r for r in lm_backoff.score_texts(docs, word_share=0.02, ngram_share=0.02).collect()}
+    got = {r.doc_id: r for r in lm_backoff.score_texts(docs, word_scale=0.2, ngram_scale=0.2).collect()}
     lm_backoff.LANE = lane
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
     tokens = {i: words(t) + [None] for i, t in rows}
     train = [t for i, t in tokens.items() if fold(i) != 1]
     for i, t in tokens.items():
-        base, score = _plain_lm(train, t, 0.02)
+        base, score = _plain_lm(train, t, 0.2)
         assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(score)
         assert got[i].n_tokens == len(t) and got[i].held_out == (fold(i) == 1)
     assert lm_backoff.score_texts(docs.limit(0)).count() == 0
