@@ -16,12 +16,16 @@ from lexalia.session import cut_lineage
 
 
 def _levels(arcs: DataFrame, by: list[str], sources: DataFrame) -> list[DataFrame]:
-    """One DataFrame ``by, s, v, sigma`` per distance 0, 1, 2, …"""
+    """One DataFrame ``by, s, v, sigma`` per distance 0, 1, 2, …
+
+    Edges have no direction, so a neighbour of a vertex at one distance is at that
+    distance, one less or one more: only the last two levels are looked at.
+    """
     first = sources.select(*by, F.col("name").alias("s"), F.col("name").alias("v"),
                            F.lit(1.0).alias("sigma"))
     levels = [cut_lineage(first, "level")]
-    seen = levels[0].select(*by, "s", "v")
     while True:
+        seen = reduce(DataFrame.unionByName, [x.select(*by, "s", "v") for x in levels[-2:]])
         step = (
             levels[-1].join(arcs.withColumnRenamed("src", "v"), [*by, "v"])
             .groupBy(*by, "s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
@@ -31,7 +35,6 @@ def _levels(arcs: DataFrame, by: list[str], sources: DataFrame) -> list[DataFram
         if step.isEmpty():
             return levels
         levels.append(step)
-        seen = seen.unionByName(step.select(*by, "s", "v"))
 
 
 def _passes(edges: DataFrame, by: list[str], passes: int):

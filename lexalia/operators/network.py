@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexalia.operators.aggregates import exact_quantiles, join_values
+from lexalia.operators.aggregates import exact_quantiles, numbered_values
 from lexalia.operators.pairs import pairs_sharing_key
-from lexalia.operators.ranking import percent_share, top_n_with_ties
+from lexalia.operators.ranking import percent_share, top_n_with_ties, with_group_stats
 
 
 def group_terms(tokens: DataFrame, by: list[str], group: str, lemma: str = "TAGGED"
@@ -97,23 +97,16 @@ def with_parties(edges: DataFrame, by: list[str], party: DataFrame) -> DataFrame
 
 
 def edge_party_mix(edges: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, spread and count of edge weights inside and across parties, in one row."""
-    flag = (F.col("party2") != F.col("party1")).cast("int")
-    flagged = edges.withColumn("diff_party", flag)
-    wide = flagged.groupBy(*by).pivot("diff_party", [0, 1]).agg(
-        F.avg("weight").alias("mw"), F.stddev_samp("weight").alias("sdw"),
-        F.count("weight").alias("count"))
-    columns = [F.coalesce(F.col(f"{flag}_{stat}"), F.lit(0)).alias(f"{stat}_{flag}")
-               for stat in ("mw", "sdw", "count") for flag in (0, 1)]
-    return wide.select(*by, *columns)
+    """Mean, spread and count of edge weights, in one row.
 
-
-def edge_mix_rows(edges: DataFrame, by: list[str]) -> DataFrame:
-    """As ``edge_party_mix`` in long form; an unknown party is a group of its own."""
-    flag = (F.col("party2") != F.col("party1")).cast("int")
-    return edges.groupBy(*by, flag.alias("diff_party")).agg(
-        F.avg("weight").alias("mw"), F.stddev_samp("weight").alias("sdw"),
-        F.count("*").alias("count"))
+    Inside parties (``_0``), across them (``_1``), and where a party is unknown (``_na``).
+    """
+    other = F.col("party2") != F.col("party1")
+    groups = {"0": ~other, "1": other, "na": other.isNull()}
+    stats = {"mw": F.avg, "sdw": F.stddev_samp, "count": F.count}
+    return edges.groupBy(*by).agg(*[
+        F.coalesce(stat(F.when(group, F.col("weight"))), F.lit(0)).alias(f"{label}_{suffix}")
+        for label, stat in stats.items() for suffix, group in groups.items()])
 
 
 def edge_cutoffs(edges: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
@@ -160,10 +153,10 @@ def community_sizes(members: DataFrame, by: list[str], community: str) -> DataFr
                                   F.max("n_m").alias("max_mem"))
 
 
-def community_members(members: DataFrame, by: list[str], community: str, name: str,
-                      part_rows: int = 1000) -> DataFrame:
-    """Members of each community as sorted text."""
-    return join_values(members, [*by, community], name, "members", part_rows=part_rows)
+def community_members(members: DataFrame, by: list[str], community: str, name: str) -> DataFrame:
+    """``by, community, n_members, position, member``: members of each community in order."""
+    listed = numbered_values(members, [*by, community], name, "member")
+    return with_group_stats(listed, [*by, community], n_members=F.count("*"))
 
 
 def community_party_counts(members: DataFrame, by: list[str], community: str) -> DataFrame:
@@ -178,20 +171,25 @@ def party_percent(counts: DataFrame, by: list[str], within: str) -> DataFrame:
 
 def crosstab(counts: DataFrame, by: list[str], row: str, column: str, values: list,
              cell: str, prefix: str = "") -> DataFrame:
-    """One column per listed value, 0 where a combination does not occur."""
-    wide = counts.groupBy(*by, row).pivot(column, values).agg(F.first(cell))
+    """One column per listed value, 0 where a combination does not occur.
+
+    A value that is not listed stops the query, as it would be lost.
+    """
+    unlisted = F.raise_error(F.concat(F.lit(f"value of {column} without a column: "),
+                                      F.coalesce(F.col(column).cast("string"), F.lit("NULL"))))
+    known = F.when(F.col(column).isin(values), F.col(cell)).otherwise(unlisted)
+    wide = counts.groupBy(*by, row).pivot(column, values).agg(F.first(known))
     named = [F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"{prefix}{v}") for v in values]
     return wide.select(*by, row, *named)
 
 
 def community_words(counts: DataFrame, members: DataFrame, by: list[str], group: str,
                     community: str, n: int = 10) -> DataFrame:
-    """Most used lemmas of each community (ties kept) as text."""
+    """``by, community, position, lemma``: most used lemmas of each community, ties kept."""
     used = counts.join(members.select(*by, group, community), [*by, group]).groupBy(
         *by, community, "lemma").agg(F.sum("n").alias("n"))
     best = top_n_with_ties(used, n, "n", [*by, community])
-    return join_values(best, [*by, community], "lemma", "lemmas").select(
-        *by, community, "lemmas")
+    return numbered_values(best, [*by, community], "lemma", "lemma")
 
 
 def consistent_members(scores: DataFrame, member: str, period: str, score: str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexalia.functions.names import party_short, short_name
-from lexalia.operators.aggregates import count_distinct, join_values
+from lexalia.operators.aggregates import count_distinct, numbered_values
 
 
 def first_match(lookup: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -26,22 +26,23 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, column: str,
             .withColumn(column, F.coalesce(value, column)).drop(value))
 
 
-def roster_duplicates(roster: DataFrame, part_rows: int = 1000) -> DataFrame:
+def roster_duplicates(roster: DataFrame) -> DataFrame:
     """Names listed more than once in a period.
 
-    ``period, n, uq, any_duplicates, part, members_dup``; a name listed three
-    times is shown twice.  Periods without duplicates keep an empty text.
+    ``period, n, uq, any_duplicates, position, member_dup``, one row per repeated
+    name; a name listed three times is shown twice.  A period without duplicates
+    keeps one row with position 0 and an empty name.
     """
     per_name = roster.groupBy("period", "AUTHOR").agg(F.count("*").alias("_times"))
     sizes = per_name.groupBy("period").agg(F.sum("_times").alias("n"), F.count("*").alias("uq"))
     again = per_name.filter(F.col("_times") > 1).select(
         "period", F.explode(F.array_repeat("AUTHOR", (F.col("_times") - 1).cast("int")))
         .alias("AUTHOR"))
-    texts = join_values(again, ["period"], "AUTHOR", "members_dup", ", ", part_rows)
-    return sizes.join(texts, "period", "left").select(
+    names = numbered_values(again, ["period"], "AUTHOR", "member_dup")
+    return sizes.join(names, "period", "left").select(
         "period", "n", "uq", (F.col("n") > F.col("uq")).alias("any_duplicates"),
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("members_dup", F.lit("")).alias("members_dup"))
+        F.coalesce("position", F.lit(0)).alias("position"),
+        F.coalesce("member_dup", F.lit("")).alias("member_dup"))
 
 
 def _documents_per_author(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexalia.operators.aggregates import join_values
 from lexalia.operators.pairs import pairs_sharing_key
 from lexalia.operators.ranking import first_n_per_group
 from lexalia.session import cut_lineage
@@ -233,8 +232,3 @@ def cluster_summary(lift: DataFrame, sizes: DataFrame, by: list[str], cluster: s
                          lambda t: t["term"])
     words = best.groupBy(*by, cluster).agg(F.array_join(listed, ", ").alias("top_words"))
     return sizes.join(words, [*by, cluster])
-
-
-def joined_terms(top: DataFrame, by: list[str], term: str, name: str) -> DataFrame:
-    """Top terms of a group as one ``"; "`` string (groups are short by then)."""
-    return join_values(top, by, term, name).select(*by, name)

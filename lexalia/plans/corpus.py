@@ -137,7 +137,7 @@ clean AS (
 )"""
 
 DOCUMENTS_SQL = f"""{CLEAN_SQL},
-docs AS (
+docs AS MATERIALIZED (
   SELECT period, "ID", any_value(date) AS date, any_value("AUTHOR_CLEAN") AS "AUTHOR_CLEAN",
          any_value(party) AS party, any_value(lang) AS lang,
          string_agg("TAGGED", ' ' ORDER BY pos) AS "CONTENT"
@@ -157,10 +157,11 @@ grams AS (
 occurrences AS (
   SELECT period, "ID", lang, w AS term FROM grams
   UNION ALL
-  SELECT a.period, a."ID", a.lang, a.w || '_' || b.w
-  FROM grams a JOIN grams b ON a.period = b.period AND a."ID" = b."ID" AND b.i = a.i + 1
+  SELECT period, "ID", lang, w || '_' || follows FROM
+    (SELECT *, lead(w) OVER (PARTITION BY period, "ID" ORDER BY i) AS follows FROM grams)
+  WHERE follows IS NOT NULL
 ),
-dtm AS (
+dtm AS MATERIALIZED (
   SELECT period, "ID", any_value(lang) AS lang, term, count(*) AS n
   FROM occurrences GROUP BY period, "ID", term
 )"""

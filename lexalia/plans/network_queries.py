@@ -169,17 +169,19 @@ def top_edges(spark: SparkSession, folder: str) -> DataFrame:
         "party2", "weight")
 
 
-def _mix_sql(flag: int) -> str:
-    return f"""round(coalesce(avg(weight) FILTER (diff_party = {flag}), 0), 12) AS mw_{flag},
-  round(coalesce(stddev_samp(weight) FILTER (diff_party = {flag}), 0), 12) AS sdw_{flag},
-  count(weight) FILTER (diff_party = {flag}) AS count_{flag}"""
+def _mix_sql(suffix: str, group: str) -> str:
+    return f"""round(coalesce(avg(weight) FILTER ({group}), 0), 12) AS mw_{suffix},
+  round(coalesce(stddev_samp(weight) FILTER ({group}), 0), 12) AS sdw_{suffix},
+  count(weight) FILTER ({group}) AS count_{suffix}"""
 
 
 @query("edge_party_mix", f"""WITH {_WITH_PARTY_SQL}
-SELECT period, {_mix_sql(0)}, {_mix_sql(1)} FROM pe GROUP BY period""")
+SELECT period, {_mix_sql('0', 'diff_party = 0')}, {_mix_sql('1', 'diff_party = 1')},
+  {_mix_sql('na', 'diff_party IS NULL')} FROM pe GROUP BY period""")
 def edge_party_mix(spark: SparkSession, folder: str) -> DataFrame:
     named = net.with_parties(_edges(spark, folder), BY, _parties(spark, folder))
-    return _rounded(net.edge_party_mix(named, BY), "mw_0", "mw_1", "sdw_0", "sdw_1", digits=12)
+    columns = [f"{label}_{suffix}" for label in ("mw", "sdw") for suffix in ("0", "1", "na")]
+    return _rounded(net.edge_party_mix(named, BY), *columns, digits=12)
 
 
 # --- communities -----------------------------------------------------------
@@ -197,11 +199,9 @@ def community_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("community_members", """
-WITH s AS (SELECT label, count(*) AS n_members FROM embeddings GROUP BY label)
-SELECT label, n_members, ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT
-         % ceil(n_members / 1000.0)::BIGINT AS part,
-       array_to_string(list_sort(list(vec_id::VARCHAR)), '; ') AS members
-FROM embeddings JOIN s USING (label) GROUP BY ALL""")
+SELECT label, count(*) OVER (PARTITION BY label) AS n_members,
+       row_number() OVER (PARTITION BY label ORDER BY vec_id::VARCHAR) AS position,
+       vec_id::VARCHAR AS member FROM embeddings""")
 def community_members(spark: SparkSession, folder: str) -> DataFrame:
     return net.community_members(load(spark, folder, "embeddings"), [], "label", "vec_id")
 
@@ -248,7 +248,7 @@ def party_community_pct(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _WORDS_SQL = ", ".join(
-    f"""coalesce(any_value(lemmas) FILTER (period = '{p}'), '') AS "{p}" """
+    f"""coalesce(any_value(lemma) FILTER (period = '{p}'), '') AS "{p}" """
     for p in base.PERIODS)
 
 
@@ -258,14 +258,14 @@ members AS (SELECT DISTINCT period, "AUTHOR_CLEAN" AS "AUTHOR", lang FROM corpus
 used AS (SELECT period, lang, lemma, sum(n) AS n FROM counts JOIN members USING (period, "AUTHOR")
          GROUP BY ALL),
 best AS (SELECT * FROM used QUALIFY rank() OVER (PARTITION BY period, lang ORDER BY n DESC) <= 10),
-texts AS (SELECT period, lang, array_to_string(list_sort(list(lemma)), '; ') AS lemmas
-          FROM best GROUP BY ALL)
-SELECT lang, {_WORDS_SQL} FROM texts GROUP BY lang""")
+placed AS (SELECT period, lang, lemma,
+             row_number() OVER (PARTITION BY period, lang ORDER BY lemma) AS position FROM best)
+SELECT lang, position, {_WORDS_SQL} FROM placed GROUP BY lang, position""")
 def community_words(spark: SparkSession, folder: str) -> DataFrame:
     members = _known(spark, folder).select(
         "period", F.col("AUTHOR_CLEAN").alias("AUTHOR"), "lang").distinct()
     words = net.community_words(_counts(spark, folder), members, BY, "AUTHOR", "lang")
-    wide = words.groupBy("lang").pivot("period", base.PERIODS).agg(F.first("lemmas"))
+    wide = words.groupBy("lang", "position").pivot("period", base.PERIODS).agg(F.first("lemma"))
     return wide.fillna("")
 
 

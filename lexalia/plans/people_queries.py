@@ -88,14 +88,11 @@ def roster_flatten(spark: SparkSession, folder: str) -> DataFrame:
 n AS (SELECT period, "AUTHOR", count(*) AS c FROM roster GROUP BY ALL),
 again AS (SELECT period, unnest(list_resize(["AUTHOR"], c - 1, "AUTHOR")) AS "AUTHOR"
           FROM n WHERE c > 1),
-s AS (SELECT period, count(*) AS k FROM again GROUP BY period),
-parts AS (SELECT period, ('0x' || substr(md5("AUTHOR"), 1, 8))::BIGINT
-            % ceil(k / 1000.0)::BIGINT AS part,
-          array_to_string(list_sort(list("AUTHOR")), ', ') AS members_dup
-          FROM again JOIN s USING (period) GROUP BY ALL),
+named AS (SELECT period, "AUTHOR" AS member_dup,
+            row_number() OVER (PARTITION BY period ORDER BY "AUTHOR") AS position FROM again),
 t AS (SELECT period, sum(c)::BIGINT AS n, count(*) AS uq FROM n GROUP BY period)
-SELECT period, n, uq, n > uq AS any_duplicates, coalesce(part, 0) AS part,
-       coalesce(members_dup, '') AS members_dup FROM t LEFT JOIN parts USING (period)""")
+SELECT period, n, uq, n > uq AS any_duplicates, coalesce(position, 0) AS position,
+       coalesce(member_dup, '') AS member_dup FROM t LEFT JOIN named USING (period)""")
 def roster_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return people.roster_duplicates(_roster(spark, folder))
 

@@ -13,15 +13,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexalia.functions.text import strip_space
 
-_FUNCTION_WORDS = """
+_FUNCTION_WORDS = {"pl": """
 a aby ale albo ani bo by być co czy dla do gdy gdzie i ich ile jak jako jest już każdy kto
 który lub mój my na nad nie o od on ona oni oraz po pod przed przez przy są się ta tak ten
 też to tu tylko ty w we więc wy z za ze że żeby
+""", "en": """
 the of and in is that for it as was with be on are this
+""", "fr": """
 de la le et les des en un du une que est pour par
+""", "de": """
 der die und den von zu das mit sich auf
+""", "es": """
 el y los del se las por con para
-"""
+"""}
 
 # Lemmas that only carry a date.
 _DATE_WORDS = """
@@ -40,8 +44,10 @@ TERMS = (
 )
 
 
-def stop_words() -> list[str]:
-    return _FUNCTION_WORDS.split()
+def stop_words(language: str | None = None) -> list[str]:
+    """Function words of one language (``pl en fr de es``), or of all for a mixed corpus."""
+    lists = _FUNCTION_WORDS.values() if language is None else [_FUNCTION_WORDS[language]]
+    return [word for words in lists for word in words.split()]
 
 
 def date_words() -> list[str]:

@@ -13,7 +13,7 @@ from lexalia.operators import aggregates as agg, network as net, people, ranking
 from lexalia.operators.pairs import pairs_sharing_key
 from lexalia.operators.tokens import pending_documents
 from lexalia.operators.windows import join_windows, overlapping_windows, window_counts
-from lexalia.sources.wordlists import term_bounds
+from lexalia.sources.wordlists import stop_words, term_bounds
 
 
 def test_top_n_keeps_ties(spark):
@@ -65,12 +65,18 @@ def test_distinct_count_with_null(spark):
     assert (row.n, row.m) == (1, 2)
 
 
-def test_joined_values_are_whole_when_split(spark):
-    df = spark.createDataFrame([("g", f"v{i}") for i in range(250)], "g string, v string")
-    parts = agg.join_values(df, ["g"], "v", "t", part_rows=20).collect()
-    assert len(parts) > 5
-    assert sorted(v for p in parts for v in p.t.split("; ")) == sorted(f"v{i}" for i in range(250))
-    assert agg.join_values(df, ["g"], "v", "t").count() == 1
+def test_numbered_values_have_one_shape_at_any_size(spark):
+    names = sorted(f"v{i}" for i in range(2500))
+    df = spark.createDataFrame([("g", v) for v in names] + [("h", "v1")], "g string, v string")
+    rows = agg.numbered_values(df, ["g"], "v", "t").collect()
+    assert sorted((r.position, r.t) for r in rows if r.g == "g") == list(enumerate(names, 1))
+    assert [(r.position, r.t) for r in rows if r.g == "h"] == [(1, "v1")]
+
+
+def test_stop_words_of_one_language_leave_other_words_alone():
+    assert not {"las", "mit"} & set(stop_words("pl"))
+    assert "las" in stop_words("es") and "mit" in stop_words("de")
+    assert set(stop_words("pl")) < set(stop_words())
 
 
 @pytest.mark.parametrize("block", [3, 1000])
@@ -157,9 +163,9 @@ def test_roster_duplicates(spark):
     roster = spark.createDataFrame(
         [("A B", "x", "p"), ("A B", "y", "p"), ("A B", "z", "p"), ("C D", "x", "p"), ("E", "x", "q")],
         "AUTHOR string, ugr string, period string")
-    rows = {r.period: r for r in people.roster_duplicates(roster).collect()}
-    assert (rows["p"].n, rows["p"].uq, rows["p"].members_dup) == (4, 2, "A B, A B")
-    assert not rows["q"].any_duplicates and rows["q"].members_dup == ""
+    rows = people.roster_duplicates(roster).orderBy("period", "position").collect()
+    assert [(r.period, r.n, r.uq, r.any_duplicates, r.position, r.member_dup) for r in rows] == [
+        ("p", 4, 2, True, 1, "A B"), ("p", 4, 2, True, 2, "A B"), ("q", 1, 1, False, 0, "")]
 
 
 def test_pending_documents(spark):
@@ -180,3 +186,27 @@ def test_simplify_and_backbone(spark):
     ).withColumn("g", F.lit(1))
     kept = net.backbone(star, ["g"], 0.25).collect()
     assert [r.dst for r in kept] == ["l0"]
+
+
+def test_edges_of_unknown_parties_are_a_group_of_their_own(spark):
+    edges = spark.createDataFrame([("g", "P", "P", 1.0), ("g", "P", "Q", 2.0), ("g", "P", None, 4.0),
+                                   ("g", None, None, 6.0)], "g string, party1 string, party2 string, weight double")
+    row = net.edge_party_mix(edges, ["g"]).first()
+    assert (row.count_0, row.count_1, row.count_na) == (1, 1, 2)
+    assert (row.mw_0, row.mw_1, row.mw_na, row.sdw_0) == (1.0, 2.0, 5.0, 0.0)
+
+
+def test_crosstab_does_not_lose_unlisted_values(spark):
+    cells = spark.createDataFrame([("g", "P", "x", 1), ("g", "P", "y", 2)], "g string, party string, c string, n int")
+    row = net.crosstab(cells, ["g"], "party", "c", ["x", "y", "z"], "n").first()
+    assert (row.x, row.y, row.z) == (1, 2, 0)
+    with pytest.raises(Exception, match="without a column"):
+        net.crosstab(cells, ["g"], "party", "c", ["x"], "n").collect()
+
+
+def test_community_words_keep_every_tie(spark):
+    counts = spark.createDataFrame([("g", "m", f"w{i}", 1) for i in range(2500)],
+                                   "g string, who string, lemma string, n int")
+    members = spark.createDataFrame([("g", "m", 1)], "g string, who string, c int")
+    rows = net.community_words(counts, members, ["g"], "who", "c").collect()
+    assert {r.position for r in rows} == set(range(1, 2501)) and len({r.lemma for r in rows}) == 2500
