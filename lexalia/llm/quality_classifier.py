@@ -5,7 +5,9 @@
   slot is the sum of the index vectors of its neighbours within ``REACH`` words, over the training
   sample, brought to length one. Slots never seen there have the zero vector.
 * Pooling. A document is the mean of its words' vectors and the mean of its shapes' vectors, frequent
-  slots weighing less. Tokens are counted over whole texts.
+  slots weighing less. Tokens are counted over whole texts. As a mean knows neither order nor
+  length, two numbers go with it: the logarithm of the number of words, and the share of words
+  equal to the word before.
 * A network with one hidden layer gives a logit; a temperature fitted on a fifth of the sample that
   the network has not seen turns it into a probability.
 
@@ -31,6 +33,8 @@ from lexalia.llm import rows as R, words as W
 SAMPLE = 6000
 WORD_SLOTS, SHAPE_SLOTS, SIZE, REACH = 1 << 15, 1 << 12, 64, 2
 SLOTS = WORD_SLOTS + SHAPE_SLOTS
+#: Numbers that stand for a document: two means of vectors, its length, its immediate repetition.
+WIDTH = 2 * SIZE + 2
 HIDDEN, STEPS, RATE, DECAY = 32, 300, 0.02, 1e-3
 COMMON = 1e-3
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -92,13 +96,16 @@ class Model:
 
     def pooled(self, texts: pa.Array) -> np.ndarray:
         words, form, shape = slots(texts)
-        out = np.zeros((len(texts), 2 * SIZE), np.float32)
+        out = np.zeros((len(texts), WIDTH), np.float32)
         full = np.flatnonzero(words.counts)
         if len(full):
             for i, own in enumerate((form, shape)):
                 sums = np.add.reduceat(self.vectors[own] * self.weight[own, None], words.first[full])
                 total = np.add.reduceat(self.weight[own], words.first[full])
                 out[full, i * SIZE:(i + 1) * SIZE] = sums / np.maximum(total, 1e-6)[:, None]
+        again = (form[1:] == form[:-1]) & (words.doc[1:] == words.doc[:-1])
+        out[:, -2] = np.log1p(words.counts)
+        out[:, -1] = np.bincount(words.doc[1:][again], minlength=len(texts)) / np.maximum(words.counts, 1)
         return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -115,7 +122,7 @@ class Model:
         fit, check = np.arange(len(y)) % 5 != 0, np.arange(len(y)) % 5 == 0
         mean, spread = x[fit].mean(axis=0), x[fit].std(axis=0) + 1e-3
         rng = np.random.default_rng(7)
-        layers = [rng.normal(0, (2 * SIZE) ** -0.5, (2 * SIZE, HIDDEN)), np.zeros(HIDDEN),
+        layers = [rng.normal(0, WIDTH ** -0.5, (WIDTH, HIDDEN)), np.zeros(HIDDEN),
                   rng.normal(0, HIDDEN ** -0.5, HIDDEN), np.zeros(1)]
         moment, square = [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers]
         data, target = (x[fit] - mean) / spread, y[fit]
@@ -171,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for part in W.slices(batch, "_text", 1 << 19):
                 x = model.pooled(part.column("_text"))
-                yield pa.record_batch([part.column("_y"), W.lists(x.ravel(), np.arange(len(x) + 1) * 2 * SIZE,
+                yield pa.record_batch([part.column("_y"), W.lists(x.ravel(), np.arange(len(x) + 1) * WIDTH,
                                                                   pa.float32())], ["y", "x"])
 
     rows = sample.mapInArrow(pool, "y int, x array<float>").limit(4 * SAMPLE).collect()
