@@ -28,7 +28,7 @@ SAMPLE = 8000
 SLOTS = 1 << 20
 GRADES = 3
 MIN_DOCS, MIN_Z, MARKED = 5, 6.0, 2.0
-STEPS, RATE, DECAY = 400, 0.05, 2e-4
+STEPS, RATE, DECAY = 400, 0.05, 2e-5
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
