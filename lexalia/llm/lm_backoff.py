@@ -5,7 +5,7 @@ additive, ``(c + 0.5) / (N + 0.5 (V + 1))``. An n-gram (n up to ``ORDER``) that
 ``NGRAM_SCALE * N ** (2 / 3)`` times is in the model with absolute discounting; what it discounts
 goes to the next lower order. This one rule holds at any corpus size. As counts add up to ``N``, the
 model has at most ``N ** (1 / 3) / NGRAM_SCALE`` n-grams of each order: it grows with the corpus, but
-slowly enough to be sent to the tasks (13 million at 100 TB, far fewer in practice).
+slowly enough to be sent to the tasks (50 million at 100 TB, far fewer in practice).
 
 Automaton. Histories are states. A state has an arc for each of its n-grams, with the smoothed
 log-probability and the state of the longest history that follows, and a failure arc with the
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from lexalia.llm import rows as R, words as W
 
 ORDER, DISCOUNT = 3, 0.75
-WORD_SCALE, NGRAM_SCALE = 0.0005, 0.002
+WORD_SCALE, NGRAM_SCALE = 0.0005, 0.0005
 FOLDS, HELD_OUT = 5, 1
 LANE = 512
 _END = -2
