@@ -61,14 +61,17 @@ def _moved(arcs: DataFrame, strength: DataFrame, labels: DataFrame, by: list[str
                          .otherwise(F.col("_home")).alias("c"))
 
 
-def _best_partition(arcs: DataFrame, by: list[str], rounds: int, patience: int) -> DataFrame:
-    """Labels ``by, v, c, q`` of one level, starting from single vertices."""
+def _best_partition(arcs: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """Labels ``by, v, c, q`` of one level, starting from single vertices.
+
+    Ends after three rounds without a gain, among which both halves of one hash had their turn.
+    """
     strength = cut_lineage(arcs.groupBy(*by, F.col("src").alias("v"))
                            .agg(F.sum("weight").alias("k")), "strength")
     start = strength.select(*by, "v", F.col("v").alias("c"))
     labels = cut_lineage(start.join(modularity(arcs, start, by), by), "labels")
     idle = 0
-    for i in range(rounds):
+    for i in range(limit):
         moved = cut_lineage(_moved(arcs, strength, labels, by, i % 2, i // 2), "moved")
         scored = modularity(arcs, moved, by).withColumnRenamed("q", "_q")
         better = F.col("_q") > F.col("q") + 1e-12
@@ -83,19 +86,24 @@ def _best_partition(arcs: DataFrame, by: list[str], rounds: int, patience: int)
         improved = not after.filter("_better").isEmpty()
         labels = after.drop("_better")
         idle = 0 if improved else idle + 1
-        if idle >= patience:
-            break
-    return labels
+        if idle >= 3:
+            return labels
+    raise RuntimeError(f"modularity still rises after {limit} rounds")
 
 
-def find_communities(edges: DataFrame, by: list[str], max_levels: int = 5, rounds: int = 20,
-                     patience: int = 2) -> DataFrame:
+def find_communities(edges: DataFrame, by: list[str], vertices: DataFrame | None = None,
+                     limit: int = 1000) -> DataFrame:
     """``by, name, modularity_class``; classes are numbered by their first member.
 
-    ``edges`` are undirected ``by, src, dst, weight`` without loops.
+    ``edges`` are undirected ``by, src, dst, weight`` without loops.  A vertex of ``vertices``
+    (``by, name``) without edges is a community of one.  Levels and rounds go on until nothing
+    is gained; more than ``limit`` rounds in a level are an error.
     """
     named = both_directions(edges, by, "weight")
-    names = cut_lineage(named.select(*by, F.col("src").alias("name")).distinct()
+    known = named.select(*by, F.col("src").alias("name"))
+    if vertices is not None:
+        known = known.unionByName(vertices.select(*by, "name"))
+    names = cut_lineage(known.distinct()
                         .withColumn("v", F.monotonically_increasing_id()), "names")
     src = names.select(*by, F.col("name").alias("src"), F.col("v").alias("_s"))
     dst = names.select(*by, F.col("name").alias("dst"), F.col("v").alias("_d"))
@@ -103,21 +111,20 @@ def find_communities(edges: DataFrame, by: list[str], max_levels: int = 5, round
         named.join(src, [*by, "src"]).join(dst, [*by, "dst"])
         .select(*by, F.col("_s").alias("src"), F.col("_d").alias("dst"), "weight"), "arcs")
     member = names.select(*by, "name", "v", F.col("v").alias("c"))
-    for _ in range(max_levels):
-        labels = _best_partition(arcs, by, rounds, patience)
+    while True:
+        labels = _best_partition(arcs, by, limit)
         if labels.filter(F.col("v") != F.col("c")).isEmpty():
-            break
+            return _number_classes(member, by)
         step = labels.select(*by, F.col("v").alias("c"), F.col("c").alias("_next"))
         member = cut_lineage(
-            member.join(step, [*by, "c"])
-            .select(*by, "name", "v", F.col("_next").alias("c")), "members")
+            member.join(step, [*by, "c"], "left")
+            .select(*by, "name", "v", F.coalesce("_next", "c").alias("c")), "members")
         src = labels.select(*by, F.col("v").alias("src"), F.col("c").alias("_s"))
         dst = labels.select(*by, F.col("v").alias("dst"), F.col("c").alias("_d"))
         arcs = cut_lineage(
             arcs.join(src, [*by, "src"]).join(dst, [*by, "dst"])
             .groupBy(*by, F.col("_s").alias("src"), F.col("_d").alias("dst"))
             .agg(F.sum("weight").alias("weight")), "arcs")
-    return _number_classes(member, by)
 
 
 def _number_classes(member: DataFrame, by: list[str]) -> DataFrame:

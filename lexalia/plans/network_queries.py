@@ -188,7 +188,7 @@ def edge_party_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("communities")
 def communities(spark: SparkSession, folder: str) -> DataFrame:
-    return find_communities(_graph(spark, folder), BY)
+    return find_communities(_graph(spark, folder), BY, _parties(spark, folder))
 
 
 @query("community_sizes", """

@@ -39,6 +39,10 @@ def test_shared_shortest_paths(spark):
 def test_two_triangles(spark):
     edges = graph(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"),
                           ("c", "x")])
+    alone = spark.createDataFrame([(1, "a"), (1, "m"), (2, "a")], "g int, name string")
+    lone = find_communities(edges, ["g"], alone)
+    assert {(r.g, r.name, r.modularity_class) for r in lone.collect()} >= {(1, "m", 2), (1, "x", 3), (2, "a", 1)}
+    assert lone.count() == 8
     found = find_communities(edges, ["g"])
     labels = {r.name: r.modularity_class for r in found.collect()}
     assert labels == {"a": 1, "b": 1, "c": 1, "x": 2, "y": 2, "z": 2}

@@ -33,7 +33,8 @@ def test_clusters_cover_documents(spark):
 
 def test_communities_label_every_vertex_once(spark):
     rows = registry.QUERIES["communities"](spark, FOLDER).toPandas()
-    assert len(rows) and not rows.duplicated(["period", "name"]).any()
+    assert len(rows) == registry.QUERIES["network_vertices"](spark, FOLDER).count()
+    assert not rows.duplicated(["period", "name"]).any()
 
 
 def test_table_lifecycle_keeps_all_documents(spark):
