@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lexalia.operators.tokens import lemmatise, pending_documents, token_rows
 
 
-def tag_pending(docs: DataFrame, done: DataFrame, max_docs: int | None = 2000,
+def tag_pending(docs: DataFrame, done: DataFrame, max_docs: int | None = None,
                 dictionary: DataFrame | None = None) -> DataFrame:
-    """Token rows of the documents the ``tagged`` table lacks.
+    """Token rows of the documents the ``tagged`` table lacks, ``max_docs`` of them if given.
 
     An empty backlog gives no rows.
     """
