@@ -2,23 +2,25 @@
 
 Model. A token is a lower-cased (A-Z) word, or the end of the text. The unigram probability is
 additive, ``(c + 0.5) / (N + 0.5 (V + 1))``. An n-gram (n up to ``ORDER``) that stands at least
-``NGRAM_SCALE * N ** (2 / 3)`` times is in the model with absolute discounting; what it discounts
-goes to the next lower order. This one rule holds at any corpus size. As counts add up to ``N``, the
-model has at most ``N ** (1 / 3) / NGRAM_SCALE`` n-grams of each order: it grows with the corpus, but
-slowly enough to be sent to the tasks (50 million at 100 TB, far fewer in practice).
-
-Automaton. Histories are states. A state has an arc for each of its n-grams, with the smoothed
-log-probability and the state of the longest history that follows, and a failure arc with the
-backoff weight to its suffix. One traversal from left to right carries the state and adds up
-log-probabilities. Long texts are cut into lanes that begin ``ORDER - 1`` tokens early, which gives
-the same states.
-
-Every word counts exactly. Words that stand at least ``WORD_SCALE * N ** (2 / 3)`` times (at most
-``N ** (1 / 3) / WORD_SCALE`` of them) are sent to the tasks. For the others, texts are joined to the
-table of counts: they are no part of any n-gram, so all they add is their unigram log-probability.
-Words are known by 64-bit hashes.
-
-Counts come from all training rows by partial sums in the tasks and one shuffle for each order.
+``LEAST`` times in the training texts is in the model, at any corpus size, with absolute
+discounting; what it discounts goes to the next lower order.
+
+Automaton. The model is a written table with a row for each n-gram. An n-gram is an arc from its
+history (all but its last word) and at the same time a state, whose failure arc with the backoff
+weight leads to its suffix (all but its first word). Weights are pushed along the failure arcs: the
+row of an n-gram holds its log-probability less that of the failure path it replaces (backoff weight
+of the history and log-probability of the suffix), and the backoff weight its own failure arc costs
+whenever it is a history. As an n-gram is in the model only where its history and suffix are, the
+weights of the n-grams in a text, each as often as it stands, add up to what the traversal from left
+to right adds up to: a matched arc cancels the failure path, and a missing one leaves it.
+
+Scoring. Each text's distinct n-grams are joined to that table. Rows standing so often that they are
+worth having at hand (``WORD_SCALE * N ** (2 / 3)`` times and one in ``AT_HAND`` tokens, hence at
+most ``AT_HAND`` of each order) are looked up in the tasks instead, which also keeps hot n-grams out
+of the join. Nothing depends on which way an n-gram takes. Words and n-grams are known by 64-bit hashes.
+
+Counts come from all training rows by partial sums in the tasks and one shuffle. Token arrays are cut
+into lanes of ``LANE`` tokens that begin ``ORDER - 1`` tokens early.
 
 Defined cases: a null or empty text is the end token alone; repeated rows train as often as they
 stand and are scored alike; without training rows N and V are 0 and no token is known.
@@ -34,90 +36,102 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexalia.llm import rows as R, words as W
 
-ORDER, DISCOUNT = 3, 0.75
-WORD_SCALE, NGRAM_SCALE = 0.0005, 0.0005
+ORDER, DISCOUNT, LEAST = 3, 0.75, 2
+WORD_SCALE, AT_HAND = 0.0005, 1 << 20
 FOLDS, HELD_OUT = 5, 1
-LANE = 512
-_END = -2
-_RARE = -1
+LANE = 1 << 17
+_END = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a batch and the first word of each text."""
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each token (the end after each text), its text's row and its place in the text."""
     values, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for part in W.slices(batch, "_text"):
         words = W.Words(part.column("_text"), lower=True)
         values.append(words.hash)
         counts.append(words.counts)
-    return W.signed(np.concatenate(values)), np.append(0, np.cumsum(np.concatenate(counts)))
-
-
-def word_counts(train: DataFrame) -> DataFrame:
-    """``_w, _c``: how often each word stands in the training texts."""
+    n = np.concatenate(counts)
+    token = np.insert(np.concatenate(values), np.cumsum(n), _END)
+    row = np.repeat(np.arange(len(n)), n + 1)
+    return token, row, np.arange(len(token)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+
+
+def _grams(batch: pa.RecordBatch, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per lane and length: ``k``, rows of texts, hashes of the k-grams that end in the lane, their histories and suffixes."""
+    token, row, place = _tokens(batch)
+    for lo in range(0, len(token), LANE):
+        lead = max(lo - order + 1, 0)
+        own, at, doc = token[lead:lo + LANE], place[lead:lo + LANE], row[lead:lo + LANE]
+        gram, none = own, np.zeros(len(own), np.uint64)
+        yield 1, doc[lo - lead:], own[lo - lead:], none[lo - lead:], own[lo - lead:]
+        for k in range(2, order + 1):
+            history, suffix = np.append(none[:1], gram[:-1]), gram
+            gram = _code(k, history, suffix)
+            here = np.flatnonzero(at >= k - 1)
+            here = here[here >= lo - lead]
+            yield k, doc[here], gram[here], history[here], suffix[here]
+
+
+def _code(k: int, history: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hash of the k-grams with these hashes of history and suffix; a word is its own suffix."""
+    return suffix if k == 1 else W.mix(W.mix(history + np.uint64(k)) * _STEP + suffix)
+
+
+def gram_counts(train: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
+    """``_w, _k, _head, _tail, _c``: hash, length, history, suffix and count of each word, and of each n-gram from ``least``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, n = np.unique(_hashed(batch)[0], return_counts=True)
-            yield pa.record_batch([pa.array(w, pa.int64()), pa.array(n, pa.int64())], ["_w", "_n"])
-
-    return train.select("_text").mapInArrow(count, "_w long, _n long").groupBy("_w").agg(F.sum("_n").alias("_c"))
+            for k, _, gram, history, suffix in _grams(batch, order):
+                _, at, n = np.unique(gram, return_index=True, return_counts=True)
+                yield pa.record_batch(
+                    [pa.array(np.full(len(at), k, np.int8)), pa.array(W.signed(history[at])),
+                     pa.array(W.signed(suffix[at])), pa.array(n, pa.int64())], ["_k", "_head", "_tail", "_n"])
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, history, suffix = (batch.column(c).to_numpy() for c in ("_k", "_head", "_tail"))
+            code = np.zeros(len(length), np.uint64)
+            for k in range(1, order + 1):
+                code[length == k] = _code(k, history.view(np.uint64), suffix.view(np.uint64))[length == k]
+            yield pa.record_batch([pa.array(W.signed(code)), *batch.columns], ["_w", "_k", "_head", "_tail", "_c"])
 
-class Vocabulary:
-    """Sorted hashes of the words sent to the tasks; a word's number is its place."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), _RARE)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, _RARE)
-
-    def tokens(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers with the end token after each text, the first token of each text, all hashes."""
-        h, first = _hashed(batch)
-        n = len(first) - 1
-        end = len(self.hashes)
-        ids = np.insert(self.numbers(h), first[1:], end)
-        return ids, first + np.arange(n + 1), h
+    key = ["_k", "_head", "_tail"]
+    rows = (train.select("_text").mapInArrow(count, "_k byte, _head long, _tail long, _n long")
+            .groupBy(*key).agg(F.sum("_n").alias("_c")).where((F.col("_k") == 1) | (F.col("_c") >= least)))
+    return rows.mapInArrow(named, "_w long, _k byte, _head long, _tail long, _c long")
 
 
-def ngram_counts(train: DataFrame, vocabulary: Vocabulary, usable: np.ndarray,
-                 known: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the n-grams one longer than ``known[-1]`` that reach ``least``.
+def model(grams: DataFrame, below: float, order: int = ORDER) -> DataFrame:
+    """``_w, _c, _base, _weight`` of every n-gram of ``grams``: count, log10 unigram probability (words only), pushed weight.
 
-    ``usable`` marks words (the end token last) frequent enough to be in any. Both parts of an
-    n-gram must be known. An n-gram's code is the place of its first part among the known ones of
-    that order, times the number of words, plus the last word.
+    Orders are built from below, each a written table: ``_p`` is the smoothed probability of the last
+    word after the history, ``_back`` the log10 weight of the failure arc.
     """
-    size = len(usable)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, first, _ = vocabulary.tokens(batch)
-            place = np.where((ids >= 0) & usable[ids], ids, -1)
-            begins = np.zeros(len(ids) + 1, bool)
-            begins[first] = True
-            code = place
-            for codes in [*known, None]:
-                # code[i]: place of the n-gram that ends at i, or -1.
-                before = np.append(-1, code[:-1])[:len(code)]
-                before[begins[:-1]] = -1
-                longer = np.where((before >= 0) & (place >= 0), before * size + place, -1)
-                if codes is None:
-                    break
-                code = _place(codes, longer)
-            ok = longer[(longer >= 0) & ((code >= 0) if len(known) else True)]
-            value, n = np.unique(ok, return_counts=True)
-            yield pa.record_batch([pa.array(value, pa.int64()), pa.array(n, pa.int64())], ["g", "n"])
-
-    rows = (train.select("_text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= least).toArrow())
-    code, n = rows.column("g").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(code)
-    return code[order], n[order]
+    p = (F.col("_c") + 0.5) / F.lit(float(below))
+    level = grams.where("_k = 1").select("_w", "_c", p.alias("_p"), F.log10(p).alias("_base"), F.log10(p).alias("_gain"))
+    levels = []
+    for k in range(1, order + 1):
+        longer = grams.where(F.col("_k") == k + 1)
+        if k < order:
+            kept = longer.groupBy(F.col("_head").alias("_w")).agg(F.sum(F.col("_c") - DISCOUNT).alias("_kept"))
+            back = F.log10(1 - F.coalesce("_kept", F.lit(0.0)) / F.col("_c"))
+            level = level.join(kept, "_w", "left").withColumn("_back", back).drop("_kept")
+        else:
+            level = level.withColumn("_back", F.lit(0.0))
+        level = R.stage(level, f"model-{k}")
+        levels.append(level.select("_w", "_c", "_base", (F.col("_gain") + F.col("_back")).alias("_weight")))
+        if k < order:
+            history = level.select(F.col("_w").alias("_head"), F.col("_c").alias("_own"), F.col("_back").alias("_fail"))
+            suffix = level.select(F.col("_w").alias("_tail"), F.col("_p").alias("_low"))
+            p = (F.col("_c") - DISCOUNT) / F.col("_own") + F.pow(F.lit(10.0), "_fail") * F.col("_low")
+            level = (longer.join(history, "_head").join(suffix, "_tail").withColumn("_p", p)
+                     .select("_w", "_c", "_p", F.lit(None).cast("double").alias("_base"),
+                             (F.log10("_p") - F.col("_fail") - F.log10("_low")).alias("_gain")))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _place(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -128,191 +142,83 @@ def _place(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(codes[at] == wanted, at, -1)
 
 
-class Automaton:
-    """States, arcs and failure arcs of the backoff model.
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
+                word_scale: float = WORD_SCALE, ngram_scale: float = 0.0, least: int = LEAST) -> DataFrame:
+    """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
-    State 0 is the empty history; the states of order k follow those of order k - 1. The words'
-    own probabilities are the arcs of state 0.
+    ``least`` is the count from which an n-gram is in the model; a positive ``ngram_scale`` raises it
+    to ``ngram_scale * N ** (2 / 3)``.
     """
-
-    def __init__(self, unigram: np.ndarray, counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]):
-        size = self.size = len(unigram)
-        self.log_unigram = np.log10(unigram)
-        # per order: state of each known n-gram of that order
-        words = np.arange(size)
-        base, own, own_count = [1], [words], [counts]
-        for codes, n in grams:
-            base.append(base[-1] + len(own[-1]))
-            own.append(codes)
-            own_count.append(n)
-        orders = len(grams)
-        n_states = base[orders - 1] + len(own[orders - 1]) if orders else 1
-        self.fail, self.backoff = np.zeros(n_states, np.int64), np.zeros(n_states)
-        states, arc_words, probs, targets = [], [], [], []
-        lower = [unigram]
-        prefix_suffix = np.zeros(size, np.int64)  # of each n-gram: state of its history's suffix
-        for k, (codes, n) in enumerate(grams):
-            head, last = codes // size, codes % size
-            state = base[k] + head
-            kept = np.maximum(n - DISCOUNT, 0) / own_count[k][head]
-            mass = np.bincount(head, kept, len(own[k]))
-            weight = np.maximum(1 - mass, 1e-12)
-            self.backoff[base[k]:base[k] + len(own[k])] = np.log10(weight)
-            self.fail[base[k]:base[k] + len(own[k])] = prefix_suffix
-            shorter = self._lower(k, own, lower, head, last, size)
-            lower.append(kept + weight[head] * shorter[0])
-            states.append(state)
-            arc_words.append(last)
-            probs.append(np.log10(lower[-1]))
-            suffix_state = base[k] + shorter[1] if k else base[0] + last
-            if k + 1 < orders:
-                targets.append(base[k + 1] + np.arange(len(codes)))
-            else:
-                targets.append(suffix_state)
-            prefix_suffix = suffix_state
-        if not orders:
-            self.keys = self.log_prob = self.target = np.zeros(0)
-            self.start = np.zeros(size, np.int64)
-            return
-        keys = np.concatenate(states) * size + np.concatenate(arc_words)
-        order = np.argsort(keys)
-        self.keys, self.log_prob = keys[order], np.concatenate(probs)[order]
-        self.target = np.concatenate(targets)[order]
-        self.start = base[0] + words
-
-    @staticmethod
-    def _lower(k, own, lower, head, last, size) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each n-gram's last word after the shorter history, and the place of the suffix n-gram."""
-        if k == 0:
-            return lower[0][last], last
-        # Suffix of (h, w): the tail of h followed by w, known as every part of a known n-gram is.
-        tail = own[k][head] % size if k == 1 else None
-        code = tail * size + last
-        at = _place(own[k], code)
-        return lower[k][at], at
-
-    def traverse(self, ids: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
-        """log10 probability of each token, rare words without their own unigram part."""
-        size, lead = LANE, order - 1
-        n = np.diff(first)
-        lanes = np.maximum(-(-n // size), 0)
-        doc = np.repeat(np.arange(len(n)), lanes)
-        number = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        begin = first[doc] + number * size
-        end = np.minimum(begin + size, first[doc + 1])
-        at = np.maximum(begin - lead, first[doc])
-        by_length = np.argsort(at - end, kind="stable")
-        begin, end, at = begin[by_length], end[by_length], at[by_length]
-        out, state = np.zeros(len(ids)), np.zeros(len(at), np.int64)
-        length = end - at
-        for t in range(int(length.max(initial=0))):
-            live = int(np.searchsorted(-length, -t, "left"))
-            here = at[:live] + t
-            word, now, gain = ids[here], state[:live].copy(), np.zeros(live)
-            after = np.zeros(live, np.int64)
-            open_ = np.arange(live)
-            while len(open_):
-                rooted = now[open_] == 0
-                done = open_[rooted]
-                common = word[done] >= 0
-                gain[done] += np.where(common, self.log_unigram[word[done]], 0)
-                after[done] = np.where(common, self.start[word[done]], 0)
-                open_ = open_[~rooted]
-                if not len(open_):
-                    break
-                spot = _place(self.keys, now[open_] * self.size + word[open_]) if len(self.keys) else \
-                    np.full(len(open_), -1)
-                spot = np.where(word[open_] >= 0, spot, -1)
-                hit = spot >= 0
-                gain[open_[hit]] += self.log_prob[spot[hit]]
-                after[open_[hit]] = self.target[spot[hit]]
-                open_ = open_[~hit]
-                gain[open_] += self.backoff[now[open_]]
-                now[open_] = self.fail[now[open_]]
-            state[:live] = after
-            counted = here >= begin[:live]
-            out[here[counted]] = gain[counted]
-        return out
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
-                word_scale: float = WORD_SCALE, ngram_scale: float = NGRAM_SCALE) -> DataFrame:
-    """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
     if not 1 <= order <= 3:
         raise ValueError("order must be 1, 2 or 3")
-    if word_scale > ngram_scale:
-        raise ValueError("words of n-grams must be sent to the tasks: word_scale is above ngram_scale")
     held = R.crc_mod(F.col("_id"), FOLDS) == HELD_OUT
     keys = R.keyed(docs, id_col, text_col)
-    train = keys.where(~held)
-    counts = R.stage(word_counts(train), "word-counts")
-    n_docs = train.count()
-    total = counts.agg(F.sum("_c"), F.count("*")).first()
-    tokens, distinct = (total[0] or 0) + n_docs, total[1] + (n_docs > 0)
+    counts = R.stage(gram_counts(keys.where(~held), order, least), "gram-counts")
+    total = counts.where("_k = 1").agg(F.sum("_c"), F.count("*")).first()
+    tokens, distinct = total[0] or 0, total[1]
     size = max(tokens, 1) ** (2 / 3)
-    frequent = counts.where(F.col("_c") >= word_scale * size).toArrow()
-    vocabulary = Vocabulary(frequent.column("_w").to_numpy(), frequent.column("_c").to_numpy())
-    full = np.append(vocabulary.counts, n_docs)
     below = tokens + 0.5 * (distinct + 1)
-    unigram = (full + 0.5) / below
-    least = ngram_scale * size
-    usable = full >= least
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(order - 1):
-        grams.append(ngram_counts(train, vocabulary, usable, [g for g, _ in grams], least))
-    automaton = Automaton(unigram, full, grams)
-    log_unigram, seen = np.log10(unigram), full > 0
+    grams = counts.where((F.col("_k") == 1) | (F.col("_c") >= ngram_scale * size))
+    table = R.stage(model(grams, below, order), "model", replaces=counts)
+    common = F.col("_c") >= max(word_scale * size, tokens / AT_HAND)
+    hand = table.where(common).select("_w", "_base", "_weight").orderBy("_w").toArrow()
+    hand_w, hand_base, hand_weight = (hand.column(c).to_numpy() for c in ("_w", "_base", "_weight"))
+    hand_known = ~np.isnan(hand_base)
+    hand_base = np.where(hand_known, hand_base, 0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, first, h = vocabulary.tokens(batch)
-            n = np.diff(first)
-            doc = np.repeat(np.arange(len(n)), n)
-            common = ids >= 0
-            sums = lambda x: np.bincount(doc, x, len(n))
-            base = sums(np.where(common, log_unigram[ids], 0))
-            model = sums(automaton.traverse(ids, first, order))
-            known = sums(np.where(common, seen[ids], 0)).astype(np.int64)
-            yield record(batch, np.arange(len(n)), batch.column("_id"), W.signed(W.mix(np.arange(len(n)).astype(np.uint64))),
-                         np.ones(len(n), np.int64), n, known, base, model)
-            inner = np.ones(len(ids), bool)
-            inner[first[1:] - 1] = False
-            rare = doc[inner & ~common]
-            words = h[~common[inner]]
-            line = np.lexsort((words, rare))
-            rare, words = rare[line], words[line]
-            new = np.ones(len(rare), bool)
-            new[1:] = (np.diff(rare) != 0) | (words[1:] != words[:-1])
-            opens = np.flatnonzero(new)
-            none = np.zeros(len(opens))
-            yield record(batch, rare[opens], pa.nulls(len(opens), batch.column("_id").type), words[opens], none.astype(np.int64),
-                         np.diff(np.append(opens, len(rare))), none.astype(np.int64), none, none)
-
-    def record(batch, doc, name, word, text, n, known, base, model) -> pa.RecordBatch:
+            n_rows = batch.num_rows
+            sums = np.zeros((4, n_rows))
+            for k, doc, gram, _, _ in _grams(batch, order):
+                gram = W.signed(gram)
+                at = _place(hand_w, gram)
+                hit = at >= 0
+                mine, at = doc[hit], at[hit]
+                if k == 1:
+                    sums[0] += np.bincount(doc, minlength=n_rows)
+                    sums[1] += np.bincount(mine, hand_known[at], n_rows)
+                    sums[2] += np.bincount(mine, hand_base[at], n_rows)
+                sums[3] += np.bincount(mine, hand_weight[at], n_rows)
+                doc, gram = doc[~hit], gram[~hit]
+                line = np.lexsort((gram, doc))
+                doc, gram = doc[line], gram[line]
+                new = np.ones(len(doc), bool)
+                new[1:] = (np.diff(doc) != 0) | (gram[1:] != gram[:-1])
+                opens = np.flatnonzero(new)
+                none = np.zeros(len(opens))
+                yield record(batch, doc[opens], pa.nulls(len(opens), batch.column("_id").type), gram[opens], none,
+                             np.diff(np.append(opens, len(doc))), none, none, none)
+            scattered = W.signed(W.mix(np.arange(n_rows).astype(np.uint64)))
+            yield record(batch, np.arange(n_rows), batch.column("_id"), scattered, np.ones(n_rows), *sums)
+
+    def record(batch, doc, name, word, text, n, known, base, weight) -> pa.RecordBatch:
         take = pa.array(doc, pa.int64())
         return pa.record_batch(
             [name, batch.column("_h").take(take), batch.column("_g").take(take), pa.array(word, pa.int64()),
-             pa.array(text, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-             pa.array(base, pa.float64()), pa.array(model, pa.float64())],
-            ["_id", *R.KEY, "_w", "_text_row", "_n", "_known", "_base", "_model"])
+             *[pa.array(np.asarray(x).astype(np.int64)) for x in (text, n, known)],
+             pa.array(base, pa.float64()), pa.array(weight, pa.float64())],
+            ["_id", *R.KEY, "_w", "_text_row", "_n", "_known", "_sum_base", "_sum_weight"])
 
     kind = keys.schema["_id"].dataType.simpleString()
     parts = keys.mapInArrow(score, f"_id {kind}, _h long, _g int, _w long, _text_row long, _n long, _known long, "
-                                   "_base double, _model double")
-    # Rows of texts carry a scrambled number as their word, so that they spread over all tasks.
-    joined = parts.join(counts, "_w", "left")
-    word_row = F.col("_text_row") == 0
-    c = F.coalesce(F.col("_c"), F.lit(0))
-    own = F.when(word_row, F.col("_n") * F.log10((c + 0.5) / F.lit(float(below)))).otherwise(0.0)
-    known = F.when(word_row & (c > 0), F.col("_n")).otherwise(F.col("_known"))
+                                   "_sum_base double, _sum_weight double")
+    # Rows of texts carry a scrambled number as their word, so that they spread over all tasks; rows of
+    # n-grams that are not in the model add nothing and end at the join.
+    gram_row = F.col("_text_row") == 0
+    joined = (parts.join(table.where(~common).drop("_c"), "_w", "left")
+              .where(~gram_row | F.col("_weight").isNotNull()))
+    times = lambda name: F.col("_n") * F.coalesce(name, F.lit(0.0))
+    pick = lambda one, other: F.sum(F.when(gram_row, one).otherwise(F.col(other)))
     summed = joined.groupBy(*R.KEY).agg(
-        F.max("_id").alias("_id"),
-        F.sum("_text_row").alias("_copies"),
-        F.sum(F.when(word_row, 0).otherwise(F.col("_n"))).alias("_n"), F.sum(known).alias("_known"),
-        F.sum(F.col("_base") + own).alias("_base"), F.sum(F.col("_model") + own).alias("_model"))
+        F.max("_id").alias("_id"), F.sum("_text_row").alias("_copies"),
+        pick(F.lit(0), "_n").alias("_n"),
+        pick(F.when(F.col("_base").isNotNull(), F.col("_n")).otherwise(0), "_known").alias("_known"),
+        pick(times("_base"), "_sum_base").alias("_base"), pick(times("_weight"), "_sum_weight").alias("_weight"))
     per = lambda name: F.col(name) / F.col("_copies")  # noqa: E731  equal rows have summed up
+    unknown = (per("_n") - per("_known")) * float(np.log10(0.5 / below))
     return (summed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
             .select(F.col("_id").alias(id_col), held.alias("held_out"),
                     per("_n").cast("long").alias("n_tokens"), per("_known").cast("long").alias("n_known"),
                     F.lit(int(tokens)).cast("long").alias("train_tokens"),
-                    per("_base").alias("base_score"), per("_model").alias("score")))
+                    (per("_base") + unknown).alias("base_score"), (per("_weight") + unknown).alias("score")))

@@ -248,6 +248,26 @@ def test_lm_scoring(spark):
     assert lm_backoff.score_texts(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("word_scale", [lm_backoff.WORD_SCALE, 0.5])
+def test_lm_keeps_ngrams_seen_twice_at_any_size(spark, word_scale):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"v{x}" for x in rng.zipf(1.3, 1500) % 5000)) for i in range(400)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    trained = [i for i, _ in rows if fold(i) != 1]
+    for i in trained[:2]:
+        rows[i] = (i, rows[i][1] + " blue moon rises")
+    asked = next(i for i in range(400, 500) if fold(i) == 1)
+    rows.append((asked, "v1 blue moon rises moon v2 blue sky"))
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = {r.doc_id: r for r in lm_backoff.score_texts(docs, word_scale=word_scale).collect()}
+    train = [words(t) + [None] for i, t in rows if fold(i) != 1]
+    total = sum(map(len, train))
+    assert 0.0005 * total ** (2 / 3) > 2.1  # where a cutoff that rises with the corpus drops them
+    base, score = _plain_lm(train, words(rows[-1][1]) + [None], 1.5 / total ** (2 / 3))
+    assert got[asked].base_score == pytest.approx(base) and got[asked].score == pytest.approx(score)
+    assert len(got) == len(rows)
+
+
 def test_toxicity(spark):
     text = lambda i, bad: " ".join(f"t{(i * 7 + k) % 90}" for k in range(20)) + " vile" * bad
     rows = [(i, text(i, 1 + i % 6 if i % 3 == 0 else 0)) for i in range(120)] + [(200, None), (None, "vile vile vile")]
