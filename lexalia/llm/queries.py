@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexalia.llm import (
     decontaminate, line_dedup, lm_backoff, packing, quality_classifier, quality_crf, simhash,
-    substring_dedup, toxicity, url_filter)
+    substring_dedup, token_alignment, toxicity, url_filter)
 from lexalia.llm.rows import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,12 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document."""
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and pair scores of every document under two tokenizers."""
+    found, _ = token_alignment.align_tokenizers(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+    return found
