@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexalia.llm import (
     decontaminate, line_dedup, lm_backoff, packing, quality_classifier, quality_crf, simhash,
-    substring_dedup, token_alignment, toxicity, url_filter)
+    substring_dedup, token_alignment, toxicity, url_filter, warc_archive, whitening)
 from lexalia.llm.rows import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@_query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four principal components of every embedding, whitened."""
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    rows = found.select("*", F.posexplode("whitened").alias("place", "value"))
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation",
+                       F.col("value").alias("whitened"), F.col("explained")[F.col("place")].alias("explained"),
+                       "identity_error")
+
+
+@_query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back through their index."""
+    pages = read(spark, sf_dir, "pages")
+    archive = warc_archive.write(pages)
+    return warc_archive.fetch(archive, warc_archive.look_up(archive, pages.select("url")), with_payload=False).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups, links and pair scores of every document under two tokenizers."""
