@@ -3,10 +3,10 @@
 Two lossless tokenizers cut the same bytes differently. Where both end a token they cut the text into
 *groups*; tokens of A and B whose bytes overlap are *linked*. An id pair is scored by its links in the
 whole corpus, by **inverted pair bitmaps**: documents are numbered in chunks of 2**16 slots, and every
-id pair has for each chunk a compressed bitmap of its documents (sorted 16-bit slots, or 2**16 bits where
-those are shorter) and, for repeated links, one bitmap per bit of the multiplicity less one. Partial
-bitmaps of a pair are merged by OR; population counts give its documents and links. The postings then
-carry the pair's score back to their documents.
+id pair has for each chunk a compressed bitmap of its documents (gaps, slots or bits, whichever is
+shortest) and, for repeated links, one bitmap per bit of the multiplicity less one. Partial bitmaps of a
+pair are merged by OR; population counts give its documents and links. The postings then carry the
+pair's score back to their documents.
 
 A chunk belongs to the task that read its documents and holds a bounded number of postings, so a pair in
 every document is many rows of at most 8 kB a plane, dealt out by pair and chunk. Only a table with one
@@ -34,9 +34,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from lexalia.llm import rows as R, words as W
 
 SLOTS = 1 << 16
-BITSET_BYTES = SLOTS // 8
-#: Most slots listed one by one; from the next on the bits take less room.
-LISTED = BITSET_BYTES // 2 - 1
+#: Forms of a compressed bitmap.
+GAPS, LISTED, BITS = 0, 1, 2
 #: Postings after which partial bitmaps are handed on, and after which a chunk ends.
 FLUSH, CHUNK = 1 << 20, 1 << 22
 SLICE_BYTES = 1 << 18
@@ -164,56 +163,80 @@ class Aligned:
 
 # Bitmaps -------------------------------------------------------------------------------------------
 
+def _firsts(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
+
+
+def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions ``first[i], first[i] + 1, ...``, ``counts[i]`` of each."""
+    return np.repeat(first - _firsts(counts), counts) + np.arange(counts.sum())
+
+
 def containers(slots: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """One bitmap for each of ``counts``: its share of ``slots`` (sorted), listed or as bits."""
-    slots = slots.astype("<u2")
-    ends = np.cumsum(counts)
-    dense = np.flatnonzero(counts > LISTED)
-    size = counts * 2
-    if len(dense):
-        parts, at = [], 0
-        for d in dense:
-            bits = np.zeros(SLOTS, np.uint8)
-            bits[slots[ends[d] - counts[d]:ends[d]]] = 1
-            parts += [slots[at:ends[d] - counts[d]].tobytes(), np.packbits(bits, bitorder="little").tobytes()]
-            at = ends[d]
-        data = b"".join([*parts, slots[at:].tobytes()])
-        size[dense] = BITSET_BYTES
-    else:
-        data = slots.tobytes()
-    offsets = np.append(0, np.cumsum(size)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-
-
-def _raw(bitmaps: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """One bitmap for each of ``counts``: its share of ``slots`` (sorted), in the shortest of three forms.
+
+    After a byte that names the form: gaps as bytes, slots as 16 bits, or bits up to the last slot.
+    """
+    first = _firsts(counts)
+    gap = np.diff(slots, prepend=0)
+    head = first[counts > 0]
+    gap[head] = slots[head]
+    widest, last = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    if len(head):
+        widest[counts > 0] = np.maximum.reduceat(gap, head)
+        last[counts > 0] = slots[head + counts[counts > 0] - 1]
+    sizes = np.stack([np.where(widest < 256, counts, 2 * SLOTS), 2 * counts, np.where(counts > 0, last // 8 + 1, 0)])
+    form = np.argmin(sizes, axis=0)
+    size = 1 + sizes[form, np.arange(len(counts))]
+    at = _firsts(size)
+    out = np.zeros(size.sum(), np.uint8)
+    out[at] = form
+    in_form = np.repeat(form, counts)
+    rows = form == GAPS
+    out[_spread(at[rows] + 1, counts[rows])] = gap[in_form == GAPS]
+    rows = form == LISTED
+    out[_spread(at[rows] + 1, 2 * counts[rows])] = slots[in_form == LISTED].astype("<u2").view(np.uint8)
+    for r in np.flatnonzero(form == BITS):
+        bits = np.zeros((last[r] // 8 + 1) * 8, np.uint8)
+        bits[slots[first[r]:first[r] + counts[r]]] = 1
+        out[at[r] + 1:at[r] + size[r]] = np.packbits(bits, bitorder="little")
+    offsets = np.append(at, len(out)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _raw(bitmaps: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all bitmaps, and the first byte, the length and the form of each."""
+    if not len(bitmaps):
+        return (np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 3)
     offsets = np.frombuffer(bitmaps.buffers()[1], np.int32, len(bitmaps) + 1, bitmaps.offset * 4).astype(np.int64)
-    data = bitmaps.buffers()[2]
-    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    return data, offsets - offsets[0]
+    data = np.frombuffer(bitmaps.buffers()[2], np.uint8)
+    return data, offsets[:-1] + 1, np.diff(offsets) - 1, data[offsets[:-1]]
 
 
 def slots_of(bitmaps: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and slot of every set bit."""
-    data, offsets = _raw(bitmaps)
-    size = np.diff(offsets)
-    dense = np.flatnonzero(size == BITSET_BYTES)
-    rows, slots = [np.repeat(np.arange(len(size)), np.where(size == BITSET_BYTES, 0, size // 2))], []
-    keep = np.repeat(size != BITSET_BYTES, size) if len(dense) else slice(None)
-    slots.append(data[keep].view("<u2"))
-    for d in dense:
-        found = np.flatnonzero(np.unpackbits(data[offsets[d]:offsets[d + 1]], bitorder="little"))
-        rows.append(np.full(len(found), d))
-        slots.append(found)
-    return np.concatenate(rows), np.concatenate(slots).astype(np.int64)
+    """Row number and slot of every set bit, in the order of rows within each form."""
+    data, first, size, form = _raw(bitmaps)
+    every = np.arange(len(size))
+    rows = form == GAPS
+    sums = np.cumsum(data[_spread(first[rows], size[rows])], dtype=np.int64)
+    before = np.append(0, sums)[_firsts(size[rows])]
+    row, slot = [np.repeat(every[rows], size[rows])], [sums - np.repeat(before, size[rows])]
+    rows = form == LISTED
+    row.append(np.repeat(every[rows], size[rows] // 2))
+    slot.append(data[_spread(first[rows], size[rows])].view("<u2"))
+    for r in np.flatnonzero(form == BITS):
+        found = np.flatnonzero(np.unpackbits(data[first[r]:first[r] + size[r]], bitorder="little"))
+        row.append(np.full(len(found), r))
+        slot.append(found)
+    return np.concatenate(row), np.concatenate(slot).astype(np.int64)
 
 
 def popcounts(bitmaps: pa.Array) -> np.ndarray:
     """Set bits of every bitmap."""
-    data, offsets = _raw(bitmaps)
-    size = np.diff(offsets)
-    out = size // 2
-    for d in np.flatnonzero(size == BITSET_BYTES):
-        out[d] = np.bitwise_count(data[offsets[d]:offsets[d + 1]]).sum()
+    data, first, size, form = _raw(bitmaps)
+    out = np.where(form == LISTED, size // 2, size)
+    for r in np.flatnonzero(form == BITS):
+        out[r] = np.bitwise_count(data[first[r]:first[r] + size[r]]).sum()
     return out
 
 

@@ -71,7 +71,8 @@ def _plain(rows):
     for (key, na, nb, ng, nl, text), own in zip(docs, links):
         out[key, na, nb, ng, nl, sum(count[p] == most[p[1]] for p in own), sum(count[p] for p in own),
             hashlib.sha256(text.encode()).hexdigest() if text else "", text] += 1
-    pairs = {p: (sum(p in own for own in map(set, links)), n, n == most[p[1]]) for p, n in count.items()}
+    docs_of = Counter(p for own in links for p in set(own))
+    pairs = {p: (docs_of[p], n, n == most[p[1]]) for p, n in count.items()}
     return out, pairs
 
 
@@ -97,7 +98,7 @@ def test_alignment_of_empty_table(spark):
 @pytest.mark.parametrize("seed", range(5))
 def test_bitmaps_hold_and_merge(seed):
     rng = np.random.default_rng(seed)
-    sizes = [0, 1, 7, TA.LISTED, TA.LISTED + 1, 30000, 3]
+    sizes = [0, 1, 7, 250, 300, 4095, 4096, 30000, 0, 3]
     slot = np.concatenate([np.sort(rng.choice(TA.SLOTS, n, replace=False)) for n in sizes])
     row = np.repeat(np.arange(len(sizes)), sizes)
     times = rng.integers(1, 9, len(slot))
