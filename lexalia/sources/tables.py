@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import posixpath
+from collections.abc import Iterable, Iterator, Mapping
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lexalia.session import file_uri
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
@@ -65,6 +70,39 @@ def read_token_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return (spark.read.schema(schema).option("header", True).option("sep", ";").csv(path))
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """One file below ``folder`` for each ``path, value`` row, written by the tasks; how many.
+
+    A task that runs again writes the same files again. ``folder`` must be on a file system that
+    pyarrow opens.
+    """
+    base = file_uri(rows.sparkSession, folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = pyarrow.fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist()):
+                files.create_dir(posixpath.dirname(f"{root}/{path}"), recursive=True)
+                with files.open_output_stream(f"{root}/{path}", compression=None) as out:
+                    out.write((value or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    done = rows.select("path", "value").mapInArrow(write, "n long")
+    return done.agg(F.sum("n")).first()[0] or 0
+
+
+def save_bucketed(df: DataFrame, name: str, location: str, key: str = "ID", buckets: int = 8) -> DataFrame:
+    """Save as table ``name``: one folder per period, and in each the rows dealt into buckets by ``key``.
+
+    Filters on ``period`` then read only their folders, at planning or, joined to filtered periods, at
+    run time. Tables with as many buckets join and group by period and key without moving a row
+    (``spark.sql.requireAllClusterKeysForCoPartition`` must be false, as ``build_session`` sets it).
+    """
+    (df.repartition(buckets, key).write.format("parquet").option("path", location).partitionBy("period")
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def documents_with_metadata(content: DataFrame, metadata: DataFrame) -> DataFrame:
     """Content rows with their metadata (left join on the document key)."""
     return content.join(metadata, ["period", "ID"], "left")
