@@ -8,7 +8,7 @@ from lexalia.operators.centrality import betweenness, closeness
 from lexalia.operators.clustering import cluster_documents
 from lexalia.operators.communities import find_communities, modularity
 from lexalia.operators.network import both_directions
-from lexalia.operators.topics import fit_topics, top_topic_terms
+from lexalia.operators.topics import UPDATES, fit_topics, top_topic_terms, topic_steps
 
 EDGE = "g int, src string, dst string, weight double"
 
@@ -51,32 +51,82 @@ def test_two_triangles(spark):
     assert modularity(arcs, v, ["g"]).first().q == pytest.approx(5 / 14)
 
 
-def test_topics_match_a_plain_loop(spark):
+def _plain_topics(cells, drawn, held, test, k, alpha, eta, steps, everything):
+    """Term counts, document counts and log-perplexities of the same steps on whole matrices."""
+    docs, terms = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
+    n = np.zeros((len(docs), len(terms)))
+    z, out, ask = np.zeros(n.shape, int), np.zeros(len(docs), bool), np.zeros(n.shape, bool)
+    for d, t, m in cells:
+        i, j = docs.index(d), terms.index(t)
+        n[i, j], z[i, j], out[i], ask[i, j] = m, drawn[d, t], held[d], test[d, t]
+    c = np.stack([(n * (z == i) * ~out[:, None]).sum(axis=0) for i in range(k)], axis=1)
+    nd = np.repeat(n.sum(axis=1)[:, None] / k, k, axis=1)
+    history = []
+    for step in range(steps):
+        all_in = step >= everything
+        w = (c + eta) / (c.sum(axis=0) + len(terms) * eta)
+        known = n if all_in else np.where(out[:, None] & ask, 0, n)
+        for _ in range(UPDATES):
+            p = w[None] * (nd + alpha)[:, None]
+            nd = (p / p.sum(axis=2, keepdims=True) * known[..., None]).sum(axis=1)
+        p = w[None] * (nd + alpha)[:, None]
+        total = p.sum(axis=2)
+        log = n * np.log(total / (nd + alpha).sum(axis=1)[:, None])
+        trained = n * (all_in | ~out[:, None])
+        c = (p / total[..., None] * trained[..., None]).sum(axis=0)
+        history.append({"train": -(log * (trained > 0)).sum() / trained.sum()} | (
+            {"held": -(log * (known < n)).sum() / (n - known).sum()} if not all_in else {}))
+    return terms, (c + eta) / (c.sum(axis=0) + len(terms) * eta), history
+
+
+def _topic_cells(spark, docs=40):
     rng = np.random.default_rng(3)
-    cells = [(1, d, f"t{t}", int(n)) for d in range(12) for t, n in enumerate(rng.poisson(0.8, 9)) if n]
-    dtm = spark.createDataFrame(cells, "g int, d0 int, term string, n int")
-    k, eta, alpha, seed = 3, 0.1, 50 / 3, 306068
-    beta = fit_topics(dtm, ["g"], ["d0"], k=k, iterations=4, seed=seed)
-    got = {(r.topic, r.term): r.beta for r in beta.collect()}
-    drawn = {(r.d0, r.term): r.z for r in dtm.select(
-        "d0", "term", F.pmod(F.xxhash64(F.lit(seed), "term", "d0"), F.lit(k)).alias("z")).collect()}
-    terms = sorted({c[2] for c in cells})
-    phi = {(d, t): np.eye(k)[drawn[d, t]] for _, d, t, _ in cells}
-    for step in range(5):
-        nw = {t: sum(n * phi[d, u] for _, d, u, n in cells if u == t) for t in terms}
-        nd = {d: sum(n * phi[e, t] for _, e, t, n in cells if e == d) for d in range(12)}
-        total = sum(nw.values())
-        if step < 4:
-            for _, d, t, _ in cells:
-                p = (nw[t] + eta) / (total + len(terms) * eta) * (nd[d] + alpha)
-                phi[d, t] = p / p.sum()
-    for t in terms:
-        for i in range(k):
-            expected = (nw[t][i] + eta) / (total[i] + len(terms) * eta)
-            assert got[i + 1, t] == pytest.approx(expected, rel=1e-9)
-    sums = beta.groupBy("topic").agg(F.sum("beta").alias("s")).collect()
-    assert [r.s for r in sums] == pytest.approx([1.0] * k)
-    assert top_topic_terms(beta, ["g"], 2).count() >= 2 * k
+    rows = [(1, d, f"t{t % 15 + 15 * (d % 3)}", int(m)) for d in range(docs) for t, m in enumerate(rng.poisson(0.8, 15)) if m]
+    rows += [(2, d, f"t{t}", 1) for d in range(3) for t in range(4)]
+    return rows, spark.createDataFrame(rows, "g int, d0 int, term string, n int")
+
+
+def test_topic_steps_match_whole_matrices(spark):
+    rows, dtm = _topic_cells(spark)
+    k, eta, alpha, seed, hold = 3, 0.1, 50 / 3, 306068, 4
+    drawn, held, test = {}, {}, {}
+    for r in dtm.where("g = 1").select(
+            "d0", "term", F.pmod(F.xxhash64(F.lit(seed), "term", "d0"), F.lit(k)).alias("z"),
+            (F.pmod(F.xxhash64(F.lit(seed + 1), "g", "d0"), F.lit(hold)) == 0).alias("held"),
+            (F.pmod(F.xxhash64(F.lit(seed + 2), "term", "d0"), F.lit(2)) == 0).alias("test")).collect():
+        drawn[r.d0, r.term], held[r.d0], test[r.d0, r.term] = r.z, r.held, r.test
+    found = []
+    for beta, now, done in topic_steps(dtm.repartition(3), ["g"], ["d0"], k, seed, alpha, eta, 1e-3, hold):
+        found.append((beta, now, done))
+        if done or len(found) > 200:
+            break
+    assert done
+    # The group is told by its log-perplexities; the step at which all documents come in by the missing part.
+    big = next(g for g, kind in found[0][1] if kind == "held")
+    everything = next(i for i, (_, now, _) in enumerate(found) if (big, "held") not in now)
+    terms, expected, history = _plain_topics(
+        [r[1:] for r in rows if r[0] == 1], drawn, held, test, k, alpha, eta, len(found), everything)
+    for (_, now, _), plain in zip(found, history):
+        assert {kind: v for (g, kind), v in now.items() if g == big} == pytest.approx(plain, rel=1e-9)
+    got = {(r.topic, r.term): r.beta for r in found[-1][0].where("g = 1").collect()}
+    for j, t in enumerate(terms):
+        assert [got[i + 1, t] for i in range(k)] == pytest.approx(expected[j].tolist(), rel=1e-9)
+
+
+def test_topics_stand_still(spark):
+    _, dtm = _topic_cells(spark)
+    steps = topic_steps(dtm, ["g"], ["d0"], 3, 306068, 50 / 3, 0.1, 1e-3, 10)
+    now = next(now for _, now, done in steps if done)
+    _, after, done = next(steps)
+    steps.close()
+    assert done and all(abs(after[key] / now[key] - 1) <= 1e-3 for key in now)
+    beta = fit_topics(dtm, ["g"], ["d0"], k=3)
+    sums = beta.groupBy("g", "topic").agg(F.sum("beta").alias("s")).collect()
+    assert len(sums) == 6 and [r.s for r in sums] == pytest.approx([1.0] * 6)
+    assert top_topic_terms(beta, ["g"], 2).count() >= 2 * 6
+    with pytest.raises(ArithmeticError):
+        fit_topics(dtm, ["g"], ["d0"], k=3, limit=1)
+    assert fit_topics(dtm.limit(0), ["g"], ["d0"]).count() == 0
 
 
 def test_clusters_separate_disjoint_vocabularies(spark):

@@ -43,8 +43,17 @@ def test_table_lifecycle_keeps_all_documents(spark):
     assert rows.n_tokens.notna().all()
 
 
-@pytest.mark.parametrize("name", ["author_topics"])
-def test_topic_grids(spark, name):
+@pytest.mark.parametrize("name, low", [("author_topics", 0.5), ("topic_grid", 0.5), ("window_topics", 0.5)])
+def test_topic_grids(spark, name, low):
     rows = registry.QUERIES[name](spark, FOLDER).toPandas()
-    assert rows.y.min() == 1 and rows.tp2.max() <= 6
-    assert rows.al.dropna().between(0.5, 1.0).all()
+    group = "p_label" if name == "window_topics" else "period"
+    assert rows.y.min() == 1 and rows.tp2.max() <= 6 and rows.topic.between(1, 6).all()
+    assert rows.al.dropna().between(low, 1.0).all() and rows.beta.between(0, 1).all()
+    assert (rows.groupby([group, "topic"]).y.nunique() >= 5).all()
+
+
+def test_leading_topic_terms(spark):
+    rows = registry.QUERIES["lda_topics"](spark, FOLDER).toPandas()
+    per_topic = rows.groupby(["period", "topic"]).beta
+    assert (per_topic.count() >= 15).all() and (per_topic.sum() <= 1).all()
+    assert (rows.groupby("period").topic.nunique() == 6).all()
