@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexalia.functions.text import NOISE, clean_text, is_noise, tokenise
+from lexalia.operators.aggregates import number_within
 from lexalia.sources.wordlists import date_words, salutations, stop_words, word_frame
 
 
@@ -89,10 +90,19 @@ def rebuild_documents(tokens: DataFrame, keys: list[str], column: str = "TAGGED"
 
 
 def pending_documents(docs: DataFrame, done: DataFrame, keys: list[str],
-                      max_docs: int | None = None, order: list[str] | None = None
-                      ) -> DataFrame:
-    """Documents not processed yet, at most ``max_docs`` of them per run."""
+                      max_docs: int | None = None, order: list[str] | None = None,
+                      by: list[str] | None = None) -> DataFrame:
+    """Documents not processed yet, at most ``max_docs`` of them (of each group ``by``) per run."""
     todo = docs.join(done.select(*keys).distinct(), keys, "left_anti")
     if max_docs is None:
         return todo
-    return todo.orderBy(*(order or keys)).limit(max_docs)
+    if not by:
+        return todo.orderBy(*(order or keys)).limit(max_docs)
+    # Numbers come from a running count over sorted keys: no group is gathered, and only keys are sorted.
+    rest = [k for k in (order or keys) if k not in by]
+    first = number_within(todo.select(*by, *keys_beside(keys, by)), by, rest, "_n").where(F.col("_n") <= max_docs)
+    return todo.join(first.drop("_n"), [*by, *keys_beside(keys, by)], "left_semi")
+
+
+def keys_beside(keys: list[str], by: list[str]) -> list[str]:
+    return [k for k in keys if k not in by]

@@ -76,13 +76,19 @@ def next_ids_query(spark: SparkSession, folder: str) -> DataFrame:
     return next_ids(new, existing).select("period", "DOC", "ID")
 
 
+#: Documents that one run takes of a period: small enough to bite in every period of the test data.
+BATCH = 50
+
+
 @query("incremental_batch", f"""WITH {CORPUS}
-SELECT period, "ID", len FROM corpus
-WHERE "ID" NOT IN (SELECT doc_id FROM labels) ORDER BY "ID" LIMIT 2000""")
+SELECT period, "ID", len FROM corpus WHERE "ID" NOT IN (SELECT doc_id FROM labels)
+QUALIFY row_number() OVER (PARTITION BY period ORDER BY "ID") <= {BATCH}""")
 def incremental_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """The next documents to process: of each period the first ones that are not done."""
     docs = base.corpus(spark, folder).select("period", "ID", "len")
-    done = load(spark, folder, "labels").select(F.col("doc_id").alias("ID"))
-    return pending_documents(docs, done, ["ID"], max_docs=2000)
+    done = load(spark, folder, "labels").select(F.col("doc_id").alias("ID")).join(
+        docs.select("period", "ID"), "ID")
+    return pending_documents(docs, done, ["period", "ID"], BATCH, by=["period"])
 
 
 # --- dates read off the text -----------------------------------------------

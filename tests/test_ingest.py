@@ -103,3 +103,43 @@ def test_batch_tagging_resumes(spark):
     first = incremental.tag_pending(docs, done, max_docs=1)
     assert {r.ID for r in first.collect()} == {2}
     assert incremental.tag_pending(docs, docs, max_docs=1).count() == 0
+
+
+def test_batch_cap_holds_for_every_period(spark):
+    docs = spark.createDataFrame([(p, i, "Ala") for p in "pq" for i in range(5)] + [("r", 9, "Ala")], schema.QUESTION_CONTENT)
+    done = docs.where("period = 'p' and ID < 2").select("period", "ID")
+    got = incremental.tag_pending(docs, done, max_docs=2).select("period", "ID").collect()
+    assert sorted(map(tuple, got)) == [("p", 2), ("p", 3), ("q", 0), ("q", 1), ("r", 9)]
+
+
+def _event(spark, folder, *days):
+    rows = [(dt.datetime(2024, 1, d, 12),) for d in days]
+    spark.createDataFrame(rows, "ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_closed_windows_come_once_and_late_rows_are_dropped(spark, tmp_path):
+    source, out, progress = (str(tmp_path / x) for x in ("in", "out", "progress"))
+
+    def run():
+        stream = incremental.stream_files(spark, source, "ts timestamp")
+        return incremental.run_closed(incremental.windowed_counts(stream, "ts", "1 day", "1 day"), out, progress)
+
+    def written():
+        rows = spark.read.schema("st timestamp, et timestamp, count long").parquet(out).collect()
+        return sorted((r.st.day, r["count"]) for r in rows)
+
+    _event(spark, source, 1, 1, 2, 5)
+    run()
+    assert written() == [(1, 2), (2, 1)]  # the watermark stands at noon of the fourth
+    _event(spark, source, 1, 5, 9)  # the first is too late
+    seen = run()
+    assert written() == [(1, 2), (2, 1), (5, 2)] and sum(s["late"] for s in seen) == 1
+    assert seen[-1]["open"] == 1  # only the ninth is still open
+    # A restart with nothing new adds nothing; a batch that has to run again is written over.
+    run()
+    assert written() == [(1, 2), (2, 1), (5, 2)]
+    last = sorted((tmp_path / "progress" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))[-1]
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert written() == [(1, 2), (2, 1), (5, 2)]
