@@ -96,7 +96,8 @@ def line_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text
     carried = [c for c in keep_columns if c not in (id_col, text_col)]
     rows = R.bounded(docs).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)], F.col(id_col).alias("_id"),
                        *R.key(id_col, text_col), F.col(text_col).cast("string").alias("_text"))
-    rows = rows.join(per_doc, R.KEY, "left").select(
+    # Hashed, not sorted: sorting would hold whole texts, the ranges are far smaller.
+    rows = rows.join(per_doc.hint("shuffle_hash"), R.KEY, "left").select(
         *[f"_c{i}" for i in range(len(carried))], "_id", "_text", "_later")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -124,6 +124,31 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+_BLANK = r"[\x20\x09-\x0D]"
+SQL["op6_line_dedup"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
+parts AS (SELECT k, doc_id, unnest(string_split(text, chr(10))) AS x,
+        generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d),
+lines AS MATERIALIZED (SELECT *, regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS t,
+        CASE WHEN regexp_matches(x, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END AS holds FROM parts),
+numbered AS MATERIALIZED (SELECT *, sum(holds) OVER (PARTITION BY k ORDER BY p) AS w FROM lines),
+three AS (SELECT k, doc_id, w, t || chr(10) || lead(t) OVER o || chr(10) || lead(t, 2) OVER o AS s
+        FROM numbered WHERE holds = 1 WINDOW o AS (PARTITION BY k ORDER BY p)),
+later AS (SELECT k, w FROM three WHERE s IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, k, w) > 1),
+gone AS MATERIALIZED (SELECT DISTINCT k, w + j AS w FROM later, unnest([0, 1, 2]) AS u(j)),
+marked AS (SELECT n.*, a.w IS NOT NULL AS here, b.w IS NOT NULL AS after FROM numbered n
+        LEFT JOIN gone a ON a.k = n.k AND a.w = n.w LEFT JOIN gone b ON b.k = n.k AND b.w = n.w + 1),
+kept AS (SELECT k, sum(holds) AS n_lines, count(*) FILTER (holds = 1 AND here) AS n_removed,
+        string_agg(x, chr(10) ORDER BY p) FILTER (NOT CASE WHEN holds = 1 THEN here ELSE here AND after END) AS s,
+        max_by(x, p) = '' AND max_by(here AND holds = 1, p) FILTER (p < last) AS cut
+        FROM (SELECT *, max(p) OVER (PARTITION BY k) AS last FROM marked) GROUP BY k)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(CASE WHEN cut AND ends_with(s, chr(10)) THEN left(s, -1) ELSE s END, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
+
+
 @_query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and place of every piece of every document."""

@@ -14,6 +14,7 @@ import corpus_pipeline
 from lexalia.llm import (
     decontaminate, line_dedup, lm_backoff, packing, quality_classifier, quality_crf, queries, shingle_dedup, simhash,
     substring_dedup, toxicity, url_filter)
+from tests import oracle
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -197,6 +198,42 @@ def test_line_dedup(docs):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def _plain_line_dedup(rows):
+    """Lines, lines removed and text left of every row; rows have ids of their own."""
+    windows, out = {}, []
+    for i, text in sorted(rows):
+        lines = (text or "").split("\n")
+        full = [p for p, x in enumerate(lines) if x.encode().split()]
+        bare = [b" ".join([lines[p].encode().strip(b" \t\n\v\f\r")]) for p in full]
+        gone = set()
+        for k in range(len(full) - 2):
+            if windows.setdefault(tuple(bare[k:k + 3]), (i, k)) != (i, k):
+                gone |= {k, k + 1, k + 2}
+        drop = {full[k] for k in gone}
+        for k in gone:
+            if k + 1 in gone:
+                drop |= set(range(full[k] + 1, full[k + 1]))
+        kept = "\n".join(x for p, x in enumerate(lines) if p not in drop)
+        if lines[-1] == "" and len(lines) - 2 in drop and kept.endswith("\n"):
+            kept = kept[:-1]
+        out.append((i, len(full), len(gone), text if text is None else kept))
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "\n".join(rng.choice(["a", "b", " b", "c  ", "", " ", "d e", f"own {i}"], rng.integers(0, 14))))
+            for i in range(300)] + [(400, None), (401, ""), (402, "a\nb\nc\n" * 50), (403, "q\n\na\n\nb\nc\n")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in got) == _plain_line_dedup(rows)
+
+
+def test_line_dedup_sql(spark):
+    con = oracle.duck("/root/testdata/sf0.01")
+    left = queries.op6_line_dedup(spark, "/root/testdata/sf0.01").toArrow()
+    assert not oracle.differences(left, con.execute(queries.SQL["op6_line_dedup"]).to_arrow_table())
+
+
 def test_packing(docs):
     full = Tokenizer.from_file(queries.tokenizer_path())
     rows = packing.pack(docs, queries.tokenizer_path(), 64).collect()
