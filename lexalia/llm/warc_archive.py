@@ -44,15 +44,18 @@ from lexalia.session import staging_path
 ARCHIVE_BYTES, BLOCK_LINES = 256 << 20, 1000
 #: Captures apart by up to so many bytes are read together, up to so many at once.
 GAP, READ_BYTES = 16 << 10, 4 << 20
+#: Archive bytes that a reading task gets at most, about.
+TASK_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 @dataclass(frozen=True)
 class Archive:
-    """A written archive: its folder, the type of its ids, the tables of captures and of index files."""
+    """A written archive: its folder and size, the type of its ids, the tables of captures and of index files."""
 
     folder: str
+    size: int
     id_type: str
     captures: DataFrame
     files: DataFrame
@@ -200,7 +203,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
         (F.coalesce("_copy", F.lit(False)) & ~F.col("_own").eqNullSafe(F.col("_least"))).alias("_revisit"), "_payload")
     folder = new_folder(pages, "warc")
     captures = R.stage(_write_records(joined, folder), "captures")
-    return Archive(folder, rows.schema["_own"].dataType.simpleString(), captures, R.stage(_write_index(captures, folder), "index-files"))
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    return Archive(folder, size, rows.schema["_own"].dataType.simpleString(), captures, R.stage(_write_index(captures, folder), "index-files"))
 
 
 # Index ---------------------------------------------------------------------------------------------
@@ -349,7 +353,9 @@ def fetch(archive: Archive, captures: DataFrame, with_payload: bool = True) -> D
     folder = archive.folder
     kind = archive.id_type
     part = F.floor(F.col("offset") / F.lit(8 << 20))
-    dealt = captures.select("file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset")
+    # By the size of the records: the rows that name them are too small for Spark to judge the work by.
+    tasks = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), archive.size // TASK_BYTES)
+    dealt = captures.select("file", "offset", "length").repartition(tasks, "file", part).sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def places() -> Iterator[tuple[str, int, int]]:
