@@ -229,7 +229,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     weights, transition = fit(docs, labels, id_col, text_col)
     carried = [id_col, *[c for c in keep_columns if c != id_col]]
-    rows = R.bounded(docs).select(*carried, F.col(text_col).cast("string").alias("_measured"))
+    rows = R.bounded(docs).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)],
+                                  F.col(text_col).cast("string").alias("_measured"))
     measured = [T.StructField(prefix + f.name, f.dataType) for f in _SCHEMA]
     names = [f.name for f in measured]
 
@@ -239,4 +240,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 found = measures(part.column("_measured"), weights, transition)
                 yield pa.record_batch([*part.columns[:-1], *map(pa.array, found)], [*carried, *names])
 
-    return rows.mapInArrow(judge, T.StructType([*rows.schema.fields[:-1], *measured]))
+    kept = [T.StructField(c, f.dataType) for c, f in zip(carried, rows.schema.fields)]
+    return rows.mapInArrow(judge, T.StructType([*kept, *measured]))

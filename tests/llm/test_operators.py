@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -362,3 +363,35 @@ def test_pipeline(spark):
     assert left < {r.doc_id for r in docs.collect()}
     packed = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r.doc_id for r in packed} == left
+
+
+CLASHES = ["_judged_kept", "_line_kept_text", "_measured", "kept", "n_lines", "kept_text", "_row", "_text", "_id",
+           "_h", "_g", "_later", "_c0", "_set", "_fp", "_root", "component_id", "n_hit", "contaminated"]
+
+
+@pytest.mark.parametrize("stage", range(5), ids=[name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_tables(spark, stage):
+    name, step = corpus_pipeline.STAGES[stage]
+    text = " ".join(f"word{i % 97}" for i in range(180))
+    rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0),
+            (None, text + " more", "en", None, 9), (None, None, None, None, None), (4, "a\nb\nc\nd", "en", "s", 7),
+            (5, "x " * 60_000, "en", "s", 120_000)]
+    docs = spark.createDataFrame([(*r, *[f"v{i}" for i in range(len(CLASHES))]) for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"`{c}` string" for c in CLASHES))
+    for table in (docs, docs.limit(0)):
+        found = step(spark, table, FOLDER)
+        if stage < 4:
+            assert found.columns == docs.columns
+            for row in found.collect():
+                assert [row[c] for c in CLASHES] == [f"v{i}" for i in range(len(CLASHES))]
+        else:
+            assert found.count() >= table.count()
+
+
+def test_quality_rules_keep_clashing_columns(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = quality_crf.quality_rules(docs.withColumn("_measured", F.lit("m")).withColumn("_c0", F.lit("c")), none,
+                                     keep_columns=("_measured", "_c0")).collect()
+    assert {(r._measured, r._c0) for r in rows} == {("m", "c")} and len(rows) == len(TEXTS)
+    assert quality_crf.quality_rules(docs.limit(0), none).count() == 0
