@@ -15,28 +15,38 @@ from lexalia.llm.queries import tokenizer_path
 from lexalia.llm.rows import KEY, key, read, stage
 
 
+def _packed(docs: DataFrame, *without: str) -> DataFrame:
+    """Id, text, and the other columns as one, so that no name of theirs meets a name of an operator."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in without]
+    return docs.select(F.struct(*rest).alias("_row"), "doc_id", "text")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and whose lines are mostly content."""
-    judged = quality_crf.quality_rules(docs, read(spark, sf_dir, "labels"), keep_columns=tuple(docs.columns),
-                                       prefix="_judged_")
-    return judged.where("_judged_kept").select(*docs.columns)
+    """Documents that pass the base rule and whose lines are mostly content; null and empty texts go."""
+    judged = quality_crf.quality_rules(_packed(docs), read(spark, sf_dir, "labels"), keep_columns=("_row",))
+    return judged.where("kept").select("_row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the later places of three-line windows; ``n_chars`` follows the text."""
-    found = line_dedup.line_dedup(docs, keep_columns=tuple(docs.columns), prefix="_line_")
-    text = F.col("_line_kept_text")
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    """Documents without the later places of three-line windows; ``n_chars`` follows the text.
+
+    Every document stays, one that loses all its lines with an empty text; a null text stays null.
+    """
+    found = line_dedup.line_dedup(_packed(docs, "text"), keep_columns=("_row",))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each component of near copies: five-word shingles, similarity 0.8 or more.
+
+    Rows equal in id and text count as one document; texts without a word are copies of each other.
+    """
     return shingle_dedup.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; null and empty texts have none and stay."""
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
     hit = found.where("contaminated").select(*KEY).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *key("doc_id", "text"))
@@ -44,7 +54,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequence and place of every piece of every document."""
+    """Sequence and place of every piece of every document; a null text is one end token."""
     return packing.pack(docs, tokenizer_path())
 
 
