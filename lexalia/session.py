@@ -37,10 +37,15 @@ def build_session(app: str = "lexalia", cores: str = "*", shuffle_partitions: in
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``.
 
-    Where that is not set, a folder in the warehouse, which all executors reach as well. Spark
-    removes the folder when the application ends.
+    Where that is not set, a folder in the warehouse; an error on a cluster whose warehouse is a folder
+    of one machine. Spark removes the folder when the application ends.
     """
-    base = spark.conf.get(_SHARED_DIR_CONF, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+    base = spark.conf.get(_SHARED_DIR_CONF, None)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+        files, _ = _file_system(spark, base)
+        if files.getUri().getScheme() == "file" and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_SHARED_DIR_CONF} must name a folder that all executors reach")
     return _own_folder(spark, f"{base.rstrip('/')}/{spark.sparkContext.applicationId}")
 
 
