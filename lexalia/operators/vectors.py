@@ -50,33 +50,62 @@ def term_arrays(docs: DataFrame, keys: list[str], text: str, ngrams: int = 2,
 
 
 def document_terms(docs: DataFrame, keys: list[str], text: str, ngrams: int = 2,
-                   words: list[str] | None = None) -> DataFrame:
-    """One row per term occurrence."""
-    return _grams(docs, keys, text, words).select(
-        *keys, F.explode(_terms(ngrams)).alias("term"))
+                   words: list[str] | None = None, marks: bool = False) -> DataFrame:
+    """One row per term occurrence; ``marks`` adds one with a NULL term per document."""
+    terms = _terms(ngrams)
+    if marks:
+        terms = F.concat(F.array(F.lit(None).cast("string")), terms)
+    return _grams(docs, keys, text, words).select(*keys, F.explode(terms).alias("term"))
 
 
 def dtm_from_text(docs: DataFrame, text_col: str, id_cols: list[str], ngrams: int = 2,
-                  words: list[str] | None = None) -> DataFrame:
+                  words: list[str] | None = None, marks: bool = False) -> DataFrame:
     """``id_cols, term, n``: counts of words and word pairs per document.
 
     A document's occurrences sit in one task.  Where ``docs`` is already
-    distributed by ``id_cols``, counting needs no shuffle at all.
+    distributed by ``id_cols``, counting needs no shuffle at all.  ``marks``
+    adds a row with a NULL term per document, so that documents can be counted
+    without reading the texts again (``split_marks``).
     """
-    terms = document_terms(docs, id_cols, text_col, ngrams, words)
+    terms = document_terms(docs, id_cols, text_col, ngrams, words, marks)
     return terms.groupBy(*id_cols, "term").agg(F.count("*").alias("n"))
 
 
-def term_frequencies(docs: DataFrame, terms: str, by: list[str] | None = None) -> DataFrame:
+def split_marks(dtm: DataFrame, by: list[str], copies: Column | None = None
+                ) -> tuple[DataFrame, DataFrame]:
+    """The counts of a table with marks, and ``by, n_docs``, the documents of each group."""
+    n_docs = F.sum(F.lit(1) if copies is None else copies).alias("n_docs")
+    return (dtm.filter(F.col("term").isNotNull()),
+            dtm.filter(F.col("term").isNull()).groupBy(*by).agg(n_docs))
+
+
+def frequencies_with_idf(docs: DataFrame, terms: str, by: list[str]) -> DataFrame:
+    """``by, term, term_freq, doc_freq, idf`` of an array column; the texts are read once.
+
+    The aggregation that counts the terms of a group counts its documents as
+    well. Both sides of the join start from its one shuffle: told apart by a
+    count, not by the term, they have no filter that would move below it.
+    """
+    freq = term_frequencies(docs, terms, by, count_rows=True)
+    n_docs = freq.filter(F.col("term_freq") == 0).select(*by, F.col("doc_freq").alias("n_docs"))
+    return add_idf(freq.filter(F.col("term_freq") > 0), n_docs, by)
+
+
+def term_frequencies(docs: DataFrame, terms: str, by: list[str] | None = None,
+                     count_rows: bool = False) -> DataFrame:
     """``term_freq`` and ``doc_freq`` of an array column in one scan and one shuffle.
 
     Each row contributes every occurrence, and each distinct term once more as
-    a document mark; both sums are combined before the shuffle.
+    a document mark; both sums are combined before the shuffle. ``count_rows``
+    adds a NULL term whose ``doc_freq`` is the number of rows.
     """
     by = by or []
     seen = F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(False).alias("mark")))
     marks = F.transform(F.array_distinct(terms),
                         lambda t: F.struct(t.alias("term"), F.lit(True).alias("mark")))
+    if count_rows:
+        row = F.struct(F.lit(None).cast("string").alias("term"), F.lit(True).alias("mark"))
+        marks = F.concat(F.array(row), marks)
     rows = (docs.select(*by, F.explode(F.concat(seen, marks)).alias("_t"))
             .select(*by, F.col("_t.term").alias("term"), F.col("_t.mark").alias("_mark")))
     return rows.groupBy(*by, "term").agg(

@@ -76,9 +76,10 @@ def clean_terms(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     return docs.select(*KEYS, *extra, F.explode(words).alias("TAGGED"))
 
 
-def corpus_dtm(spark: SparkSession, folder: str, *extra: str, ngrams: int = 2) -> DataFrame:
+def corpus_dtm(spark: SparkSession, folder: str, *extra: str, ngrams: int = 2,
+               marks: bool = False) -> DataFrame:
     docs = clean_documents(spark, folder, *extra, keyed=True)
-    return dtm_from_text(docs, "CONTENT", [*KEYS, *extra], ngrams)
+    return dtm_from_text(docs, "CONTENT", [*KEYS, *extra], ngrams, marks=marks)
 
 
 # --- the same views in SQL -------------------------------------------------

@@ -210,8 +210,7 @@ freq AS (SELECT period, term, sum(n)::BIGINT AS term_freq, count(*) AS doc_freq,
 def _freq_by_period(spark: SparkSession, folder: str) -> DataFrame:
     docs = base.clean_documents(spark, folder)
     arrays = vectors.term_arrays(docs, ["period"], "CONTENT")
-    freq = vectors.term_frequencies(arrays, "terms", ["period"])
-    return vectors.add_idf(freq, vectors.document_counts(docs, ["period"]), ["period"])
+    return vectors.frequencies_with_idf(arrays, "terms", ["period"])
 
 
 @query("term_doc_freq", f"WITH {_FREQ_BY_PERIOD_SQL} "
@@ -236,8 +235,8 @@ def corpus_prob(spark: SparkSession, folder: str) -> DataFrame:
 SELECT period, "ID", d.term, n, round(n * idf, 9) AS w
 FROM dtm d JOIN freq f USING (period, term) WHERE idf > 0""")
 def tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    counts = cut_lineage(base.corpus_dtm(spark, folder), "dtm")
-    n_docs = vectors.document_counts(base.clean_documents(spark, folder), ["period"])
+    marked = cut_lineage(base.corpus_dtm(spark, folder, marks=True), "dtm")
+    counts, n_docs = vectors.split_marks(marked, ["period"])
     freq = vectors.term_doc_freq(counts, n_docs, ["period"])
     weighted = vectors.tfidf(counts, freq, ["period"])
     return weighted.select("period", "ID", "term", "n", F.round("w", 9).alias("w"))
@@ -247,10 +246,10 @@ def _unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Unit TF-IDF vectors of the distinct texts of each period."""
     docs = base.clean_documents(spark, folder)
     single = vectors.collapse_copies(docs, ["period"], "ID", "CONTENT").repartition(*KEYS)
-    counts = cut_lineage(
-        vectors.dtm_from_text(single, "CONTENT", ["period", "ID", "copies"]), "dtm")
-    freq = vectors.term_doc_freq(counts, vectors.document_counts(docs, ["period"]),
-                                 ["period"], F.col("copies"))
+    marked = cut_lineage(vectors.dtm_from_text(
+        single, "CONTENT", ["period", "ID", "copies"], marks=True), "dtm")
+    counts, n_docs = vectors.split_marks(marked, ["period"], F.col("copies"))
+    freq = vectors.term_doc_freq(counts, n_docs, ["period"], F.col("copies"))
     return vectors.unit_length(vectors.tfidf(counts, freq, ["period"]), KEYS)
 
 
