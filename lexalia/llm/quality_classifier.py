@@ -2,8 +2,8 @@
 
 * Random indexing. Every token (a lower-cased word, or the shape of a word such as ``Aa`` or
   ``a#``) is hashed to a slot; a slot has a fixed sparse index vector of +1 and -1. The vector of a
-  slot is the sum of the index vectors of its neighbours within ``REACH`` words, over the training
-  sample, brought to length one. Slots never seen there have the zero vector.
+  slot is the sum of the index vectors of its neighbours within ``REACH`` words, over all documents,
+  brought to length one. The sums are whole numbers, so no order of tasks changes them.
 * Pooling. A document is the mean of its words' vectors and the mean of its shapes' vectors, frequent
   slots weighing less. Tokens are counted over whole texts. As a mean knows neither order nor
   length, two numbers go with it: the logarithm of the number of words, and the share of words
@@ -11,9 +11,11 @@
 * A network with one hidden layer gives a logit; a temperature fitted on a fifth of the sample that
   the network has not seen turns it into a probability.
 
-The training sample is at most ``SAMPLE`` labelled rows, those with the smallest hash of their id,
-taken only from rows outside the held-out fold. The slot table has a fixed size (``SLOTS`` vectors
-of ``SIZE`` numbers, 9 MB), so it can be sent to every task. Scoring shuffles nothing.
+Vectors and frequencies use no labels and come from every document: a task hands on one row a slot
+at most. Network and temperature are fitted on a sample of at most ``SAMPLE`` labelled ids, those with
+the smallest hash, taken only from outside the held-out fold, with one text each (of repeated rows of
+an id the text with the smallest hash). The slot table has a fixed size (``SLOTS`` vectors of ``SIZE``
+numbers, 9 MB), so it can be sent to every task. Scoring shuffles nothing.
 
 Defined cases: a null or empty text pools to zeros and is scored like any other; labels other
 than 0 and 1 are left out; of repeated labels of an id the largest counts; without labels of both
@@ -37,6 +39,7 @@ SLOTS = WORD_SLOTS + SHAPE_SLOTS
 WIDTH = 2 * SIZE + 2
 HIDDEN, STEPS, RATE, DECAY = 32, 300, 0.02, 1e-3
 COMMON = 1e-3
+_SPAN = 1 << 15
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 
 _CLASS = np.arange(256).astype(np.uint8)
@@ -47,12 +50,12 @@ _CLASS[W.byte_set((0x30, 0x39))] = ord("0")
 
 def index_vectors() -> np.ndarray:
     """Eight entries of +1 or -1 in each slot's vector, drawn from a hash of the slot."""
-    out = np.zeros((SLOTS, SIZE), np.float32)
+    out = np.zeros((SLOTS, SIZE), np.int16)
     slot = np.arange(SLOTS, dtype=np.uint64)
     for k in range(8):
         h = W.mix(slot * np.uint64(8) + np.uint64(k + 1))
         np.add.at(out, (np.arange(SLOTS), (h % np.uint64(SIZE)).astype(np.int64)),
-                  np.where(h >> np.uint64(63), 1, -1).astype(np.float32))
+                  np.where(h >> np.uint64(63), 1, -1).astype(np.int16))
     return out
 
 
@@ -71,19 +74,24 @@ def slots(texts: pa.Array) -> tuple[W.Words, np.ndarray, np.ndarray]:
 
 
 def _context(texts: pa.Array, index: np.ndarray, out: np.ndarray, seen: np.ndarray) -> None:
-    """Add the index vectors around every token to ``out`` and count tokens in ``seen``."""
+    """Add the index vectors around every token to ``out`` and count tokens in ``seen``; all in whole numbers."""
     words, form, shape = slots(texts)
-    seen += np.bincount(form, minlength=SLOTS) + np.bincount(shape, minlength=SLOTS)
-    for step in range(1, REACH + 1):
-        same = np.flatnonzero(words.doc[step:] == words.doc[:-step])
-        for own in (form, shape):
-            for other in (form, shape):
-                for a, b in ((own[same], other[same + step]), (own[same + step], other[same])):
-                    pair, n = np.unique(a * SLOTS + b, return_counts=True)
-                    a, b = pair // SLOTS, pair % SLOTS
-                    opens = np.flatnonzero(np.diff(a, prepend=-1))
-                    if len(opens):
-                        out[a[opens]] += np.add.reduceat(index[b] * n[:, None].astype(np.float32), opens)
+    for lo in range(0, len(form), _SPAN):
+        first, last = max(lo - REACH, 0), min(lo + _SPAN + REACH, len(form))
+        doc = words.doc[first:last]
+        own = index[form[first:last]] + index[shape[first:last]]
+        around = np.zeros((len(own), SIZE), np.int16)
+        for step in range(1, REACH + 1):
+            same = (doc[step:] == doc[:-step])[:, None]
+            around[:-step] += own[step:] * same
+            around[step:] += own[:-step] * same
+        around = around[lo - first:lo - first + _SPAN]
+        for slot in (form[lo:lo + _SPAN], shape[lo:lo + _SPAN]):
+            order = np.argsort(slot, kind="stable")
+            opens = np.flatnonzero(np.diff(slot[order], prepend=-1))
+            at = slot[order[opens]]
+            out[at] += np.add.reduceat(around[order], opens, axis=0, dtype=np.int64)
+            seen[at] += np.diff(np.append(opens, len(slot)))
 
 
 class Model:
@@ -147,25 +155,26 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality") -> Model:
-    """Vectors and network from the bounded sample of labelled rows outside the held-out fold."""
+    """Vectors from all documents; the network from the bounded sample of labelled ids outside the held-out fold."""
     marked = (labels.where(F.col(label_col).isin(0, 1)).where(R.crc_mod(F.col(id_col), FOLDS) != HELD_OUT)
               .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
               .orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE))
-    sample = R.stage(R.bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-                     .join(marked, "_id").select("_y", "_text"), "labelled").coalesce(8)
+    texts = R.bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    one = F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text"))).alias("_one")
+    sample = texts.join(marked, "_id").groupBy("_id", "_y").agg(one).select("_y", F.col("_one._text").alias("_text"))
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, out, seen = index_vectors(), np.zeros((SLOTS, SIZE), np.float32), np.zeros(SLOTS, np.int64)
+        index, out, seen = index_vectors(), np.zeros((SLOTS, SIZE), np.int64), np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in W.slices(batch, "_text", 1 << 19):
                 _context(part.column("_text"), index, out, seen)
         used = np.flatnonzero(seen)
         yield pa.record_batch(
             [pa.array(used, pa.int32()), pa.array(seen[used], pa.int64()),
-             W.lists(out[used].ravel(), np.arange(len(used) + 1) * SIZE, pa.float32())], ["slot", "n", "v"])
+             W.lists(out[used].ravel(), np.arange(len(used) + 1) * SIZE, pa.int64())], ["slot", "n", "v"])
 
     sums = [F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(SIZE)]
-    table = (sample.mapInArrow(context, "slot int, n long, v array<float>").groupBy("slot")
+    table = (texts.select("_text").mapInArrow(context, "slot int, n long, v array<bigint>").groupBy("slot")
              .agg(F.sum("n").alias("n"), *sums).collect())
     vectors, count = np.zeros((SLOTS, SIZE), np.float32), np.zeros(SLOTS)
     for row in table:
@@ -181,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.record_batch([part.column("_y"), W.lists(x.ravel(), np.arange(len(x) + 1) * WIDTH,
                                                                   pa.float32())], ["y", "x"])
 
-    rows = sample.mapInArrow(pool, "y int, x array<float>").limit(4 * SAMPLE).collect()
+    rows = sample.mapInArrow(pool, "y int, x array<float>").collect()
     rows.sort(key=lambda r: (r.x, r.y))
     y = np.array([r.y for r in rows], np.float64)
     if len(y):

@@ -280,6 +280,46 @@ def test_quality_classifier(spark, docs):
     assert {r.score for r in quality_classifier.score_quality(docs, none).collect()} == {0.5}
 
 
+def test_context_sums_match_plain_loops(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality_classifier, "_SPAN", 3)
+    texts = ["the Cat sat on the mat 12", None, "", "one", "the cat, the Dog"]
+    index = quality_classifier.index_vectors()
+    out = np.zeros((quality_classifier.SLOTS, quality_classifier.SIZE), np.int64)
+    seen = np.zeros(quality_classifier.SLOTS, np.int64)
+    quality_classifier._context(pa.array(texts), index, out, seen)
+    expected, count = np.zeros_like(out), np.zeros_like(seen)
+    for text in texts:
+        _, form, shape = quality_classifier.slots(pa.array([text], pa.string()))
+        for i in range(len(form)):
+            for own in (form, shape):
+                count[own[i]] += 1
+                for j in range(max(0, i - 2), min(len(form), i + 3)):
+                    if j != i:
+                        expected[own[i]] += index[form[j]] + index[shape[j]]
+    assert (out == expected).all() and (seen == count).all()
+
+
+def test_quality_sample_takes_one_text_of_an_id_and_vectors_cover_all(spark):
+    good, bad = "calm words of some length here", "XX !! 99 XX !! 99"
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, good if i % 2 else bad) for i in ids] + [(ids[0], "other text")] * 50 + [(900, "unlabelled words")]
+    rows += [(901, None), (902, ""), (903, good + " " + "z" * 300_000), (None, bad)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, DOCS)
+    model = quality_classifier.fit(docs.repartition(3), labels)
+    again = quality_classifier.fit(docs.repartition(5), labels)
+    assert (model.vectors == again.vectors).all() and model.temperature == again.temperature
+    assert model.base == pytest.approx(sum(i % 2 for i in ids) / len(ids))
+    import pyarrow as pa
+    _, form, _ = quality_classifier.slots(pa.array(["unlabelled"]))
+    assert np.abs(model.vectors[form]).sum() > 0
+    got = {(r.doc_id, r.predicted) for r in quality_classifier.score_quality(docs, labels).collect()}
+    assert {(i, i % 2) for i in ids[1:]} <= got and (None, 0) in got
+    assert quality_classifier.score_quality(docs.limit(0), labels).count() == 0
+
+
 def _plain_lm(train, text, scale):
     """The same model with dictionaries: base and backoff log-probability."""
     grams = [Counter(), Counter(), Counter()]
