@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexalia.llm import decontaminate, line_dedup, packing, quality_crf, shingle_dedup
+from lexalia.llm import decontaminate, line_dedup, packing, quality_crf, simhash
 from lexalia.llm.queries import tokenizer_path
 from lexalia.llm.rows import KEY, key, read, stage
 
@@ -38,11 +38,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: five-word shingles, similarity 0.8 or more.
+    """One document of each component of fingerprints: three-word shingles, at most two differing bits.
 
-    Rows equal in id and text count as one document; texts without a word are copies of each other.
+    Rows equal in id and text count as one document; texts without a word share the fingerprint zero.
     """
-    return shingle_dedup.one_of_each(docs)
+    return simhash.one_of_each(_packed(docs, "text")).select(
+        *[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
