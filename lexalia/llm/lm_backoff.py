@@ -5,22 +5,25 @@ additive, ``(c + 0.5) / (N + 0.5 (V + 1))``. An n-gram (n up to ``ORDER``) that
 ``LEAST`` times in the training texts is in the model, at any corpus size, with absolute
 discounting; what it discounts goes to the next lower order.
 
-Automaton. The model is a written table with a row for each n-gram. An n-gram is an arc from its
-history (all but its last word) and at the same time a state, whose failure arc with the backoff
-weight leads to its suffix (all but its first word). Weights are pushed along the failure arcs: the
-row of an n-gram holds its log-probability less that of the failure path it replaces (backoff weight
-of the history and log-probability of the suffix), and the backoff weight its own failure arc costs
-whenever it is a history. As an n-gram is in the model only where its history and suffix are, the
-weights of the n-grams in a text, each as often as it stands, add up to what the traversal from left
-to right adds up to: a matched arc cancels the failure path, and a missing one leaves it.
-
-Scoring. Each text's distinct n-grams are joined to that table. Rows standing so often that they are
-worth having at hand (``WORD_SCALE * N ** (2 / 3)`` times and one in ``AT_HAND`` tokens, hence at
-most ``AT_HAND`` of each order) are looked up in the tasks instead, which also keeps hot n-grams out
-of the join. Nothing depends on which way an n-gram takes. Words and n-grams are known by 64-bit hashes.
-
-Counts come from all training rows by partial sums in the tasks and one shuffle. Token arrays are cut
-into lanes of ``LANE`` tokens that begin ``ORDER - 1`` tokens early.
+Automaton. Every n-gram of the model is a state. Its row holds how often it stands, and how many
+n-grams of the model continue it (its arcs) and how often they stand: the failure arc to its suffix
+(all but its first word) weighs what the arcs leave of its probability. A text is traversed once from
+left to right. The state after a token is the longest n-gram of the model, of fewer than ``ORDER``
+words, that ends there; the next token takes the state's arc if it has one, at the discounted
+probability, and shares the failure arc, state after state down to the single word. numpy takes this
+step for a lane of ``LANE`` tokens at once, order by order; lanes begin ``ORDER - 1`` tokens early,
+which is all that a state can hold.
+
+Tables. Texts are written once as blocks of word numbers, which all passes read. N-grams are counted
+by a buffer in the task and one shuffle; they travel by the range of their hash, as sorted hashes in
+compressed byte planes. Words and pairs are counted first, and a triple is sent only if both its pairs
+may be in the model. A block asks the ranges of the model for its distinct n-grams, and the answers
+meet the block again for the traversal. A bitmap of ``BITMAP`` bits, of one size for any corpus, keeps
+back n-grams that are surely not in the model; where it lets one through, the count or the answer
+decides, so results do not depend on it. States standing so often that they are worth having at hand
+(``WORD_SCALE * N ** (2 / 3)`` times and one in ``AT_HAND`` tokens, hence at most ``AT_HAND`` of each
+order) are looked up in the tasks, which keeps hot n-grams out of the exchange. Words are known by
+64-bit hashes, n-grams by a 64-bit hash of their history and their last word.
 
 Defined cases: a null or empty text is the end token alone; repeated rows train as often as they
 stand and are scored alike; without training rows N and V are 0 and no token is known.
@@ -28,118 +31,249 @@ stand and are scored alike; without training rows N and V are 0 and no token is
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexalia.llm import rows as R, words as W
 
 ORDER, DISCOUNT, LEAST = 3, 0.75, 2
 WORD_SCALE, AT_HAND = 0.0005, 1 << 20
 FOLDS, HELD_OUT = 5, 1
-LANE = 1 << 17
+LANE, BLOCK_BYTES = 1 << 20, 1 << 21
+BITMAP = 27  # as a power of two: 16 MB
+RANGE_TOKENS = 1 << 19
 _END = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers as compressed byte planes."""
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
+
+
+def _packed_sorted(values: np.ndarray) -> bytes:
+    return _packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def _unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data), dtype=np.uint64)
+
+
+def token_blocks(keys: DataFrame) -> DataFrame:
+    """``_ids, _held, _sizes, _words, _at``: texts of about ``BLOCK_BYTES`` as numbers of the block's sorted words.
+
+    ``_sizes`` counts each text's tokens with its end; takes ``_id, _held, _text``.
+    """
+    size = BLOCK_BYTES
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "_text", size):
+                words = W.Words(part.column("_text"), lower=True)
+                token = np.insert(words.hash, np.cumsum(words.counts), _END)
+                known, at = np.unique(token, return_inverse=True)
+                whole = pa.array([0, part.num_rows], pa.int32())
+                yield pa.record_batch(
+                    [pa.ListArray.from_arrays(whole, part.column("_id")),
+                     pa.ListArray.from_arrays(whole, part.column("_held")),
+                     pa.array([_packed(words.counts + 1)]), pa.array([_packed_sorted(known)]), pa.array([_packed(at)])],
+                    ["_ids", "_held", "_sizes", "_words", "_at"])
+
+    kind = keys.schema["_id"].dataType.simpleString()
+    return keys.mapInArrow(cut, f"_ids array<{kind}>, _held array<boolean>, _sizes binary, _words binary, _at binary")
+
+
+def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a block, the place of each in its text, and the texts' sizes."""
+    sizes = _unpacked(row["_sizes"]).astype(np.int64)
+    token = _unpacked_sorted(row["_words"])[_unpacked(row["_at"]).astype(np.int64)]
+    return token, np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
 
 
-def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each token (the end after each text), its text's row and its place in the text."""
-    values, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for part in W.slices(batch, "_text"):
-        words = W.Words(part.column("_text"), lower=True)
-        values.append(words.hash)
-        counts.append(words.counts)
-    n = np.concatenate(counts)
-    token = np.insert(np.concatenate(values), np.cumsum(n), _END)
-    row = np.repeat(np.arange(len(n)), n + 1)
-    return token, row, np.arange(len(token)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+def _tag(word: np.ndarray) -> np.ndarray:
+    """The 48 bits of a word by which n-grams of one history differ."""
+    return word >> np.uint64(16)
 
 
-def _grams(batch: pa.RecordBatch, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per lane and length: ``k``, rows of texts, hashes of the k-grams that end in the lane, their histories and suffixes."""
-    token, row, place = _tokens(batch)
-    for lo in range(0, len(token), LANE):
+def _code(k: int, head: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Hash of the k-grams with these histories and last words; a word is its own hash."""
+    return head if k == 1 else W.mix(W.mix(head + np.uint64(k)) * _STEP + tag)
+
+
+def _lanes(token: np.ndarray, place: np.ndarray, order: int, lane: int) -> Iterator[tuple]:
+    """Per lane: its first token and, for each length, hashes of the n-grams that end at its tokens and
+    of their histories, and whether the text has that many words up to there."""
+    for lo in range(0, len(token), lane):
         lead = max(lo - order + 1, 0)
-        own, at, doc = token[lead:lo + LANE], place[lead:lo + LANE], row[lead:lo + LANE]
-        gram, none = own, np.zeros(len(own), np.uint64)
-        yield 1, doc[lo - lead:], own[lo - lead:], none[lo - lead:], own[lo - lead:]
+        gram, at = token[lead:lo + lane], place[lead:lo + lane]
+        own, tag, skip = lo - lead, _tag(gram), np.zeros(1, np.uint64)
+        levels = [(gram[own:], gram[own:], np.ones(len(gram) - own, bool))]
         for k in range(2, order + 1):
-            history, suffix = np.append(none[:1], gram[:-1]), gram
-            gram = _code(k, history, suffix)
-            here = np.flatnonzero(at >= k - 1)
-            here = here[here >= lo - lead]
-            yield k, doc[here], gram[here], history[here], suffix[here]
+            head = np.append(skip, gram[:-1])
+            gram = _code(k, head, tag)
+            levels.append((gram[own:], head[own:], at[own:] >= k - 1))
+        yield lo, levels
+
+
+def _marked(bitmap: np.ndarray | None, code: np.ndarray) -> np.ndarray:
+    """Whether the bitmap holds the leading bits of each code."""
+    if bitmap is None:
+        return np.ones(len(code), bool)
+    at = code >> np.uint64(64 - BITMAP)
+    return bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+
+def bitmap(codes: DataFrame) -> np.ndarray:
+    """``2 ** BITMAP`` bits, those set that are the leading bits of a code in ``_w``."""
+    at = F.shiftrightunsigned("_w", 64 - BITMAP)
+    found = codes.groupBy(F.shiftright(at, 6).cast("int").alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    rows = found.toArrow()
+    out = np.zeros(1 << BITMAP - 6, np.uint64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
 
+def gram_counts(blocks: DataFrame, lengths: list[int], bits: int, least: int = LEAST, pairs: np.ndarray | None = None,
+                order: int = ORDER) -> DataFrame:
+    """``_w, _k, _head, _c``: hash, length, history and count of each word, and of each n-gram from ``least``.
 
-def _code(k: int, history: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """Hash of the k-grams with these hashes of history and suffix; a word is its own suffix."""
-    return suffix if k == 1 else W.mix(W.mix(history + np.uint64(k)) * _STEP + suffix)
+    ``bits`` is the number of leading bits of a hash that make its range; ``pairs`` is a bitmap that
+    must hold both parts of an n-gram.
+    """
+    lane = LANE
 
+    def sent(k: int, head: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+        code, first, n = np.unique(_code(k, head, tag), return_index=True, return_counts=True)
+        part = (code >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(code), np.int64)
+        line = np.lexsort((head[first], part))
+        head, tag, n, part = head[first][line], tag[first][line], n[line], part[line]
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        return pa.record_batch(
+            [pa.array(part[cuts[:-1]], pa.int32()), pa.array(np.full(len(spans), k, np.int8)),
+             pa.array([_packed_sorted(head[a:b]) for a, b in spans], pa.binary()),
+             pa.array([_packed(tag[a:b]) for a, b in spans], pa.binary()),
+             pa.array([_packed(n[a:b]) for a, b in spans], pa.binary())], ["_range", "_k", "_heads", "_tags", "_n"])
 
-def gram_counts(train: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
-    """``_w, _k, _head, _tail, _c``: hash, length, history, suffix and count of each word, and of each n-gram from ``least``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {k: [] for k in lengths}, 0
         for batch in batches:
-            for k, _, gram, history, suffix in _grams(batch, order):
-                _, at, n = np.unique(gram, return_index=True, return_counts=True)
-                yield pa.record_batch(
-                    [pa.array(np.full(len(at), k, np.int8)), pa.array(W.signed(history[at])),
-                     pa.array(W.signed(suffix[at])), pa.array(n, pa.int64())], ["_k", "_head", "_tail", "_n"])
+            for row in batch.to_pylist():
+                token, place, sizes = _tokens(row)
+                train = np.repeat(~np.array(row["_held"], bool), sizes)
+                for lo, levels in _lanes(token, place, order, lane):
+                    own = slice(lo, lo + len(levels[0][0]))
+                    for k in lengths:
+                        code, head, here = levels[k - 1]
+                        here = np.flatnonzero(here & train[own])
+                        if pairs is not None:
+                            here = here[_marked(pairs, head[here]) & _marked(pairs, levels[k - 2][0][here])]
+                        held[k].append((head[here], _tag(token[own][here]) if k > 1 else np.zeros(len(here), np.uint64)))
+                    size += len(levels[0][0])
+                    if size >= lane:
+                        for k in lengths:
+                            yield sent(k, *map(np.concatenate, zip(*held[k])))
+                        held, size = {k: [] for k in lengths}, 0
+        for k in lengths:
+            if held[k]:
+                yield sent(k, *map(np.concatenate, zip(*held[k])))
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, history, suffix = (batch.column(c).to_numpy() for c in ("_k", "_head", "_tail"))
-            code = np.zeros(len(length), np.uint64)
-            for k in range(1, order + 1):
-                code[length == k] = _code(k, history.view(np.uint64), suffix.view(np.uint64))[length == k]
-            yield pa.record_batch([pa.array(W.signed(code)), *batch.columns], ["_w", "_k", "_head", "_tail", "_c"])
+    def add_up(group: pa.Table) -> pa.Table:
+        length, out = group.column("_k").to_numpy(), []
+        for k in np.unique(length):
+            own = group.filter(pa.array(length == k))
+            head = np.concatenate([_unpacked_sorted(x) for x in own.column("_heads").to_pylist()])
+            tag, n = (np.concatenate([_unpacked(x) for x in own.column(c).to_pylist()]) for c in ("_tags", "_n"))
+            code, first, at = np.unique(_code(k, head, tag), return_index=True, return_inverse=True)
+            total = np.bincount(at, n, len(code)).astype(np.int64)
+            kept = total >= (least if k > 1 else 1)
+            out.append(pa.table([pa.array(W.signed(code[kept])), pa.array(np.full(kept.sum(), k, np.int8)),
+                                 pa.array(W.signed(head[first][kept])), pa.array(total[kept])], ["_w", "_k", "_head", "_c"]))
+        return pa.concat_tables(out)
 
-    key = ["_k", "_head", "_tail"]
-    rows = (train.select("_text").mapInArrow(count, "_k byte, _head long, _tail long, _n long")
-            .groupBy(*key).agg(F.sum("_n").alias("_c")).where((F.col("_k") == 1) | (F.col("_c") >= least)))
-    return rows.mapInArrow(named, "_w long, _k byte, _head long, _tail long, _c long")
+    rows = blocks.select("_held", "_sizes", "_words", "_at").mapInArrow(
+        count, "_range int, _k byte, _heads binary, _tags binary, _n binary")
+    return rows.groupBy("_range").applyInArrow(add_up, "_w long, _k byte, _head long, _c long")
 
 
-def model(grams: DataFrame, below: float, order: int = ORDER) -> DataFrame:
-    """``_w, _c, _base, _weight`` of every n-gram of ``grams``: count, log10 unigram probability (words only), pushed weight.
+def automaton(grams: DataFrame) -> DataFrame:
+    """``_w, _k, _c, _arcs, _taken`` of every state: its count, the number of its arcs, and how often they stand."""
+    arcs = grams.where("_k > 1").groupBy(F.col("_head").alias("_w")).agg(
+        F.count("*").alias("_arcs"), F.sum("_c").alias("_taken"))
+    return grams.drop("_head").join(arcs, "_w", "left").fillna(0, ["_arcs", "_taken"])
+
+
+class _States:
+    """Sorted hashes of states with their numbers."""
+
+    def __init__(self, code: np.ndarray, numbers: list[np.ndarray]):
+        line = np.argsort(code, kind="stable")
+        self.code, self.numbers = code[line], [x[line] for x in numbers]
+
+    def place(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted hash, -1 where missing."""
+        if not len(self.code):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.code, wanted), len(self.code) - 1)
+        return np.where(self.code[at] == wanted, at, -1)
+
+    def fill(self, wanted: np.ndarray, into: list[np.ndarray]) -> None:
+        at = self.place(wanted)
+        hit = np.flatnonzero(at >= 0)
+        for out, own in zip(into, self.numbers):
+            out[hit] = own[at[hit]]
 
-    Orders are built from below, each a written table: ``_p`` is the smoothed probability of the last
-    word after the history, ``_back`` the log10 weight of the failure arc.
-    """
-    p = (F.col("_c") + 0.5) / F.lit(float(below))
-    level = grams.where("_k = 1").select("_w", "_c", p.alias("_p"), F.log10(p).alias("_base"), F.log10(p).alias("_gain"))
-    levels = []
-    for k in range(1, order + 1):
-        longer = grams.where(F.col("_k") == k + 1)
-        if k < order:
-            kept = longer.groupBy(F.col("_head").alias("_w")).agg(F.sum(F.col("_c") - DISCOUNT).alias("_kept"))
-            back = F.log10(1 - F.coalesce("_kept", F.lit(0.0)) / F.col("_c"))
-            level = level.join(kept, "_w", "left").withColumn("_back", back).drop("_kept")
-        else:
-            level = level.withColumn("_back", F.lit(0.0))
-        level = R.stage(level, f"model-{k}")
-        levels.append(level.select("_w", "_c", "_base", (F.col("_gain") + F.col("_back")).alias("_weight")))
-        if k < order:
-            history = level.select(F.col("_w").alias("_head"), F.col("_c").alias("_own"), F.col("_back").alias("_fail"))
-            suffix = level.select(F.col("_w").alias("_tail"), F.col("_p").alias("_low"))
-            p = (F.col("_c") - DISCOUNT) / F.col("_own") + F.pow(F.lit(10.0), "_fail") * F.col("_low")
-            level = (longer.join(history, "_head").join(suffix, "_tail").withColumn("_p", p)
-                     .select("_w", "_c", "_p", F.lit(None).cast("double").alias("_base"),
-                             (F.log10("_p") - F.col("_fail") - F.log10("_low")).alias("_gain")))
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
 
+_NUMBERS = ["_c", "_arcs", "_taken"]
 
-def _place(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted code among the sorted codes, -1 where missing."""
-    if not len(codes):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
-    return np.where(codes[at] == wanted, at, -1)
+
+def _states(table: pa.Table) -> _States:
+    return _States(table.column("_w").to_numpy().view(np.uint64), [table.column(c).to_numpy() for c in _NUMBERS])
+
+
+def traverse(levels: list[tuple], tables: list[_States], below: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token of a lane: whether it is known, its unigram and its automaton probability."""
+    def look(code: np.ndarray) -> list[np.ndarray]:
+        into = [np.zeros(len(code), np.int64) for _ in _NUMBERS]
+        for table in tables:
+            table.fill(code, into)
+        return into
+
+    count = look(levels[0][0])[0]
+    known, base = count > 0, (count + 0.5) / below
+    p = base
+    for gram, head, enough in levels[1:]:
+        state, arcs, taken = look(head)
+        own = look(gram)[0]
+        inside = enough & (state > 0)
+        state = np.maximum(state, 1)
+        fails = 1 - (taken - DISCOUNT * arcs) / state
+        p = np.where(inside, np.where(own > 0, own - DISCOUNT, 0) / state + fails * p, p)
+    return known, base, p
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, shuffle files go as soon as the write has ended; then the session's setting again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
@@ -151,74 +285,94 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not 1 <= order <= 3:
         raise ValueError("order must be 1, 2 or 3")
-    held = R.crc_mod(F.col("_id"), FOLDS) == HELD_OUT
-    keys = R.keyed(docs, id_col, text_col)
-    counts = R.stage(gram_counts(keys.where(~held), order, least), "gram-counts")
-    total = counts.where("_k = 1").agg(F.sum("_c"), F.count("*")).first()
+    with _shuffles_dropped(docs.sparkSession):
+        return _score_texts(docs, id_col, text_col, order, word_scale, ngram_scale, least)
+
+
+def _score_texts(docs: DataFrame, id_col: str, text_col: str, order: int, word_scale: float, ngram_scale: float,
+                 least: int) -> DataFrame:
+    keys = R.bounded(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    keys = keys.select("_id", (R.crc_mod(F.col("_id"), FOLDS) == HELD_OUT).alias("_held"), "_text")
+    blocks = R.stage(token_blocks(keys).select(F.monotonically_increasing_id().alias("_block"), "*"), "token-blocks")
+    here = blocks.agg(F.sum(F.length("_at"))).first()[0] or 0
+    bits = max(int(here / RANGE_TOKENS), 1).bit_length()
+    short = R.stage(gram_counts(blocks, list(range(1, min(order, 2) + 1)), bits, least, order=order), "words-and-pairs")
+    total = short.where("_k = 1").agg(F.sum("_c"), F.count("*")).first()
     tokens, distinct = total[0] or 0, total[1]
     size = max(tokens, 1) ** (2 / 3)
     below = tokens + 0.5 * (distinct + 1)
-    grams = counts.where((F.col("_k") == 1) | (F.col("_c") >= ngram_scale * size))
-    table = R.stage(model(grams, below, order), "model", replaces=counts)
+    grams = short
+    if order > 2:
+        pairs = bitmap(short.where("_k = 2"))
+        grams = short.unionByName(R.stage(gram_counts(blocks, [3], bits, least, pairs, order), "triples"))
+    grams = grams.where((F.col("_k") == 1) | (F.col("_c") >= ngram_scale * size))
+    table = R.stage(automaton(grams), "automaton")
     common = F.col("_c") >= max(word_scale * size, tokens / AT_HAND)
-    hand = table.where(common).select("_w", "_base", "_weight").orderBy("_w").toArrow()
-    hand_w, hand_base, hand_weight = (hand.column(c).to_numpy() for c in ("_w", "_base", "_weight"))
-    hand_known = ~np.isnan(hand_base)
-    hand_base = np.where(hand_known, hand_base, 0)
+    hand = _states(table.where(common).select("_w", *_NUMBERS).toArrow())
+    held = bitmap(table.where(~common).select("_w"))
+    lane = LANE
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_rows = batch.num_rows
-            sums = np.zeros((4, n_rows))
-            for k, doc, gram, _, _ in _grams(batch, order):
-                gram = W.signed(gram)
-                at = _place(hand_w, gram)
-                hit = at >= 0
-                mine, at = doc[hit], at[hit]
-                if k == 1:
-                    sums[0] += np.bincount(doc, minlength=n_rows)
-                    sums[1] += np.bincount(mine, hand_known[at], n_rows)
-                    sums[2] += np.bincount(mine, hand_base[at], n_rows)
-                sums[3] += np.bincount(mine, hand_weight[at], n_rows)
-                doc, gram = doc[~hit], gram[~hit]
-                line = np.lexsort((gram, doc))
-                doc, gram = doc[line], gram[line]
-                new = np.ones(len(doc), bool)
-                new[1:] = (np.diff(doc) != 0) | (gram[1:] != gram[:-1])
-                opens = np.flatnonzero(new)
-                none = np.zeros(len(opens))
-                yield record(batch, doc[opens], pa.nulls(len(opens), batch.column("_id").type), gram[opens], none,
-                             np.diff(np.append(opens, len(doc))), none, none, none)
-            scattered = W.signed(W.mix(np.arange(n_rows).astype(np.uint64)))
-            yield record(batch, np.arange(n_rows), batch.column("_id"), scattered, np.ones(n_rows), *sums)
-
-    def record(batch, doc, name, word, text, n, known, base, weight) -> pa.RecordBatch:
-        take = pa.array(doc, pa.int64())
-        return pa.record_batch(
-            [name, batch.column("_h").take(take), batch.column("_g").take(take), pa.array(word, pa.int64()),
-             *[pa.array(np.asarray(x).astype(np.int64)) for x in (text, n, known)],
-             pa.array(base, pa.float64()), pa.array(weight, pa.float64())],
-            ["_id", *R.KEY, "_w", "_text_row", "_n", "_known", "_sum_base", "_sum_weight"])
+            for row in batch.to_pylist():
+                token, place, _ = _tokens(row)
+                wanted = [np.zeros(0, np.uint64)]
+                for _, levels in _lanes(token, place, order, lane):
+                    for code, _, enough in levels:
+                        code = code[enough]
+                        code = np.unique(code[_marked(held, code)])
+                        wanted.append(code[hand.place(code) < 0])
+                code = np.unique(np.concatenate(wanted))
+                part = (code >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+                spans = list(zip(cuts[:-1], cuts[1:]))
+                yield pa.record_batch(
+                    [pa.array(part[cuts[:-1]], pa.int32()), pa.array(np.full(len(spans), row["_block"]), pa.int64()),
+                     pa.array([_packed_sorted(code[a:b]) for a, b in spans], pa.binary())], ["_range", "_block", "_codes"])
 
-    kind = keys.schema["_id"].dataType.simpleString()
-    parts = keys.mapInArrow(score, f"_id {kind}, _h long, _g int, _w long, _text_row long, _n long, _known long, "
-                                   "_sum_base double, _sum_weight double")
-    # Rows of texts carry a scrambled number as their word, so that they spread over all tasks; rows of
-    # n-grams that are not in the model add nothing and end at the join.
-    gram_row = F.col("_text_row") == 0
-    joined = (parts.join(table.where(~common).drop("_c"), "_w", "left")
-              .where(~gram_row | F.col("_weight").isNotNull()))
-    times = lambda name: F.col("_n") * F.coalesce(name, F.lit(0.0))
-    pick = lambda one, other: F.sum(F.when(gram_row, one).otherwise(F.col(other)))
-    summed = joined.groupBy(*R.KEY).agg(
-        F.max("_id").alias("_id"), F.sum("_text_row").alias("_copies"),
-        pick(F.lit(0), "_n").alias("_n"),
-        pick(F.when(F.col("_base").isNotNull(), F.col("_n")).otherwise(0), "_known").alias("_known"),
-        pick(times("_base"), "_sum_base").alias("_base"), pick(times("_weight"), "_sum_weight").alias("_weight"))
-    per = lambda name: F.col(name) / F.col("_copies")  # noqa: E731  equal rows have summed up
-    unknown = (per("_n") - per("_known")) * float(np.log10(0.5 / below))
-    return (summed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(F.col("_id").alias(id_col), held.alias("held_out"),
-                    per("_n").cast("long").alias("n_tokens"), per("_known").cast("long").alias("n_known"),
-                    F.lit(int(tokens)).cast("long").alias("train_tokens"),
-                    (per("_base") + unknown).alias("base_score"), (per("_weight") + unknown).alias("score")))
+    def answer(asked: pa.Table, states: pa.Table) -> pa.Table:
+        own, out = _states(states), []
+        for block, codes in zip(asked.column("_block").to_pylist(), asked.column("_codes").to_pylist()):
+            code = _unpacked_sorted(codes)
+            at = own.place(code)
+            code, at = code[at >= 0], at[at >= 0]
+            if len(code):
+                out.append((block, _packed_sorted(code), *[_packed(x[at]) for x in own.numbers]))
+        columns = list(zip(*out)) or [[]] * 5
+        return pa.table([pa.array(columns[0], pa.int64()), *[pa.array(x, pa.binary()) for x in columns[1:]]],
+                        ["_block", "_codes", *_NUMBERS])
+
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        found = [np.concatenate([np.zeros(0, np.uint64), *map(_unpacked, answers.column(c).to_pylist())])
+                 for c in _NUMBERS]
+        code = [np.zeros(0, np.uint64), *map(_unpacked_sorted, answers.column("_codes").to_pylist())]
+        tables = [hand, _States(np.concatenate(code), [x.astype(np.int64) for x in found])]
+        out = []
+        for row in block.to_pylist():
+            token, place, sizes = _tokens(row)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            sums = np.zeros((3, len(sizes)))
+            for lo, levels in _lanes(token, place, order, lane):
+                known, base, p = traverse(levels, tables, below)
+                own = doc[lo:lo + len(known)]
+                for k, x in enumerate((known, np.log10(base), np.log10(p))):
+                    sums[k] += np.bincount(own, x, len(sizes))
+            out.append(pa.table([
+                pa.array(row["_ids"], block.schema.field("_ids").type.value_type),
+                pa.array(row["_held"], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)),
+                pa.array(np.full(len(sizes), tokens), pa.int64()), pa.array(sums[1]), pa.array(sums[2])],
+                [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        if not out:  # answers always belong to a block
+            raise ValueError("answers without a block")
+        return pa.concat_tables(out)
+
+    asked = blocks.select("_block", "_sizes", "_words", "_at").mapInArrow(ask, "_range int, _block long, _codes binary")
+    states = table.where(~common).select("_w", *_NUMBERS).withColumn(
+        "_range", F.shiftrightunsigned("_w", 64 - bits).cast("int"))
+    answers = asked.groupBy("_range").cogroup(states.groupBy("_range")).applyInArrow(
+        answer, "_block long, _codes binary, _c binary, _arcs binary, _taken binary")
+    kind = blocks.schema["_ids"].dataType.elementType.simpleString()
+    scored = blocks.groupBy("_block").cogroup(R.stage(answers, "answers").groupBy("_block")).applyInArrow(
+        score, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+               "base_score double, score double")
+    return scored
