@@ -40,13 +40,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexalia.llm import rows as R, words as W
+from lexalia.session import drop_stage
 
 ORDER, DISCOUNT, LEAST = 3, 0.75, 2
 WORD_SCALE, AT_HAND = 0.0005, 1 << 20
 FOLDS, HELD_OUT = 5, 1
-LANE, BLOCK_BYTES = 1 << 20, 1 << 21
+LANE, BLOCK_BYTES = 1 << 21, 1 << 21
 BITMAP = 27  # as a power of two: 16 MB
-RANGE_TOKENS = 1 << 19
+RANGE_BYTES = 1 << 21
 _END = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -103,8 +104,8 @@ def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _tag(word: np.ndarray) -> np.ndarray:
-    """The 48 bits of a word by which n-grams of one history differ."""
-    return word >> np.uint64(16)
+    """The 40 bits of a word by which n-grams of one history differ."""
+    return word >> np.uint64(24)
 
 
 def _code(k: int, head: np.ndarray, tag: np.ndarray) -> np.ndarray:
@@ -295,60 +296,74 @@ def _score_texts(docs: DataFrame, id_col: str, text_col: str, order: int, word_s
     keys = keys.select("_id", (R.crc_mod(F.col("_id"), FOLDS) == HELD_OUT).alias("_held"), "_text")
     blocks = R.stage(token_blocks(keys).select(F.monotonically_increasing_id().alias("_block"), "*"), "token-blocks")
     here = blocks.agg(F.sum(F.length("_at"))).first()[0] or 0
-    bits = max(int(here / RANGE_TOKENS), 1).bit_length()
+    bits = max(int(here / RANGE_BYTES), 1).bit_length()
     short = R.stage(gram_counts(blocks, list(range(1, min(order, 2) + 1)), bits, least, order=order), "words-and-pairs")
     total = short.where("_k = 1").agg(F.sum("_c"), F.count("*")).first()
     tokens, distinct = total[0] or 0, total[1]
     size = max(tokens, 1) ** (2 / 3)
     below = tokens + 0.5 * (distinct + 1)
-    grams = short
+    grams, triples = short, None
     if order > 2:
         pairs = bitmap(short.where("_k = 2"))
-        grams = short.unionByName(R.stage(gram_counts(blocks, [3], bits, least, pairs, order), "triples"))
+        triples = R.stage(gram_counts(blocks, [3], bits, least, pairs, order), "triples")
+        grams = short.unionByName(triples)
     grams = grams.where((F.col("_k") == 1) | (F.col("_c") >= ngram_scale * size))
-    table = R.stage(automaton(grams), "automaton")
+    table = R.stage(automaton(grams), "automaton", replaces=short)
+    drop_stage(triples)
     common = F.col("_c") >= max(word_scale * size, tokens / AT_HAND)
     hand = _states(table.where(common).select("_w", *_NUMBERS).toArrow())
     held = bitmap(table.where(~common).select("_w"))
     lane = LANE
 
+    def wanted(row: dict) -> Iterator[tuple[int, np.ndarray]]:
+        """Ranges of the model and the sorted hashes that a block asks for there; always the same."""
+        token, place, _ = _tokens(row)
+        codes = [np.zeros(0, np.uint64)]
+        for _, levels in _lanes(token, place, order, lane):
+            for code, _, enough in levels:
+                code = code[enough]
+                code = np.unique(code[_marked(held, code)])
+                codes.append(code[hand.place(code) < 0])
+        code = np.unique(np.concatenate(codes))
+        part = (code >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield int(part[a]), code[a:b]
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                token, place, _ = _tokens(row)
-                wanted = [np.zeros(0, np.uint64)]
-                for _, levels in _lanes(token, place, order, lane):
-                    for code, _, enough in levels:
-                        code = code[enough]
-                        code = np.unique(code[_marked(held, code)])
-                        wanted.append(code[hand.place(code) < 0])
-                code = np.unique(np.concatenate(wanted))
-                part = (code >> np.uint64(64 - bits)).astype(np.int64)
-                cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-                spans = list(zip(cuts[:-1], cuts[1:]))
+                asked = list(wanted(row))
                 yield pa.record_batch(
-                    [pa.array(part[cuts[:-1]], pa.int32()), pa.array(np.full(len(spans), row["_block"]), pa.int64()),
-                     pa.array([_packed_sorted(code[a:b]) for a, b in spans], pa.binary())], ["_range", "_block", "_codes"])
+                    [pa.array([part for part, _ in asked], pa.int32()),
+                     pa.array([row["_block"]] * len(asked), pa.int64()),
+                     pa.array([_packed_sorted(code) for _, code in asked], pa.binary())], ["_range", "_block", "_codes"])
 
     def answer(asked: pa.Table, states: pa.Table) -> pa.Table:
         own, out = _states(states), []
-        for block, codes in zip(asked.column("_block").to_pylist(), asked.column("_codes").to_pylist()):
+        for part, block, codes in zip(*(asked.column(c).to_pylist() for c in ("_range", "_block", "_codes"))):
             code = _unpacked_sorted(codes)
-            at = own.place(code)
-            code, at = code[at >= 0], at[at >= 0]
-            if len(code):
-                out.append((block, _packed_sorted(code), *[_packed(x[at]) for x in own.numbers]))
+            into = [np.zeros(len(code), np.int64) for _ in _NUMBERS]
+            own.fill(code, into)
+            out.append((part, block, *map(_packed, into)))
         columns = list(zip(*out)) or [[]] * 5
-        return pa.table([pa.array(columns[0], pa.int64()), *[pa.array(x, pa.binary()) for x in columns[1:]]],
-                        ["_block", "_codes", *_NUMBERS])
+        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()),
+                         *[pa.array(x, pa.binary()) for x in columns[2:]]], ["_range", "_block", *_NUMBERS])
+
+    def answered(row: dict, answers: pa.Table) -> _States:
+        """The states a block asked for, their numbers in the order of its questions."""
+        asked = dict(wanted(row))
+        code, numbers = [np.zeros(0, np.uint64)], [[np.zeros(0, np.int64)] for _ in _NUMBERS]
+        for found in answers.to_pylist():
+            code.append(asked[found["_range"]])
+            for own, name in zip(numbers, _NUMBERS):
+                own.append(_unpacked(found[name]).astype(np.int64))
+        return _States(np.concatenate(code), [np.concatenate(x) for x in numbers])
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
-        found = [np.concatenate([np.zeros(0, np.uint64), *map(_unpacked, answers.column(c).to_pylist())])
-                 for c in _NUMBERS]
-        code = [np.zeros(0, np.uint64), *map(_unpacked_sorted, answers.column("_codes").to_pylist())]
-        tables = [hand, _States(np.concatenate(code), [x.astype(np.int64) for x in found])]
         out = []
         for row in block.to_pylist():
+            tables = [hand, answered(row, answers)]
             token, place, sizes = _tokens(row)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             sums = np.zeros((3, len(sizes)))
@@ -362,17 +377,15 @@ def _score_texts(docs: DataFrame, id_col: str, text_col: str, order: int, word_s
                 pa.array(row["_held"], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)),
                 pa.array(np.full(len(sizes), tokens), pa.int64()), pa.array(sums[1]), pa.array(sums[2])],
                 [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        if not out:  # answers always belong to a block
-            raise ValueError("answers without a block")
         return pa.concat_tables(out)
 
     asked = blocks.select("_block", "_sizes", "_words", "_at").mapInArrow(ask, "_range int, _block long, _codes binary")
     states = table.where(~common).select("_w", *_NUMBERS).withColumn(
         "_range", F.shiftrightunsigned("_w", 64 - bits).cast("int"))
     answers = asked.groupBy("_range").cogroup(states.groupBy("_range")).applyInArrow(
-        answer, "_block long, _codes binary, _c binary, _arcs binary, _taken binary")
+        answer, "_range int, _block long, _c binary, _arcs binary, _taken binary")
+    answers = R.stage(answers, "answers", replaces=table)
     kind = blocks.schema["_ids"].dataType.elementType.simpleString()
-    scored = blocks.groupBy("_block").cogroup(R.stage(answers, "answers").groupBy("_block")).applyInArrow(
+    return blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
         score, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                "base_score double, score double")
-    return scored
