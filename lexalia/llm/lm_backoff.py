@@ -45,22 +45,23 @@ from lexalia.session import drop_stage
 ORDER, DISCOUNT, LEAST = 3, 0.75, 2
 WORD_SCALE, AT_HAND = 0.0005, 1 << 20
 FOLDS, HELD_OUT = 5, 1
-LANE, BLOCK_BYTES = 1 << 21, 1 << 21
+LANE, BLOCK_BYTES = 1 << 20, 1 << 21
 BITMAP = 27  # as a power of two: 16 MB
-RANGE_BYTES = 1 << 21
+RANGE_BYTES = 1 << 20
 _END = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _packed(values: np.ndarray) -> bytes:
     """Unsigned numbers as compressed byte planes."""
     planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _COMPRESSOR.compress(planes.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_DECOMPRESSOR.decompress(data), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
 
 
@@ -103,6 +104,11 @@ def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.flatnonzero(np.diff(values, prepend=~values[:1]))]
+
+
 def _tag(word: np.ndarray) -> np.ndarray:
     """The 40 bits of a word by which n-grams of one history differ."""
     return word >> np.uint64(24)
@@ -113,19 +119,21 @@ def _code(k: int, head: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return head if k == 1 else W.mix(W.mix(head + np.uint64(k)) * _STEP + tag)
 
 
-def _lanes(token: np.ndarray, place: np.ndarray, order: int, lane: int) -> Iterator[tuple]:
-    """Per lane: its first token and, for each length, hashes of the n-grams that end at its tokens and
-    of their histories, and whether the text has that many words up to there."""
+def _lanes(token: np.ndarray, place: np.ndarray, order: int, lane: int) -> Iterator[tuple[int, int, list, np.ndarray]]:
+    """Per lane: its first token, how many tokens it begins early, for each length the hashes of the
+    n-grams that end at its tokens, and the tokens' places in their texts."""
     for lo in range(0, len(token), lane):
         lead = max(lo - order + 1, 0)
-        gram, at = token[lead:lo + lane], place[lead:lo + lane]
-        own, tag, skip = lo - lead, _tag(gram), np.zeros(1, np.uint64)
-        levels = [(gram[own:], gram[own:], np.ones(len(gram) - own, bool))]
+        grams, at = [token[lead:lo + lane]], place[lead:lo + lane]
+        tag = _tag(grams[0])
         for k in range(2, order + 1):
-            head = np.append(skip, gram[:-1])
-            gram = _code(k, head, tag)
-            levels.append((gram[own:], head[own:], at[own:] >= k - 1))
-        yield lo, levels
+            grams.append(_code(k, _before(grams[-1]), tag))
+        yield lo, lo - lead, grams, at
+
+
+def _before(values: np.ndarray) -> np.ndarray:
+    """What stood at the token before."""
+    return np.append(np.zeros(1, values.dtype), values[:-1])
 
 
 def _marked(bitmap: np.ndarray | None, code: np.ndarray) -> np.ndarray:
@@ -175,15 +183,19 @@ def gram_counts(blocks: DataFrame, lengths: list[int], bits: int, least: int = L
             for row in batch.to_pylist():
                 token, place, sizes = _tokens(row)
                 train = np.repeat(~np.array(row["_held"], bool), sizes)
-                for lo, levels in _lanes(token, place, order, lane):
-                    own = slice(lo, lo + len(levels[0][0]))
+                for lo, early, grams, at in _lanes(token, place, order, lane):
+                    tag = _tag(grams[0])
+                    mine = train[lo - early:lo - early + len(at)].copy()
+                    mine[:early] = False
                     for k in lengths:
-                        code, head, here = levels[k - 1]
-                        here = np.flatnonzero(here & train[own])
+                        here = np.flatnonzero(mine & (at >= k - 1))
+                        if k == 1:
+                            held[k].append((grams[0][here], np.zeros(len(here), np.uint64)))
+                            continue
                         if pairs is not None:
-                            here = here[_marked(pairs, head[here]) & _marked(pairs, levels[k - 2][0][here])]
-                        held[k].append((head[here], _tag(token[own][here]) if k > 1 else np.zeros(len(here), np.uint64)))
-                    size += len(levels[0][0])
+                            here = here[_marked(pairs, grams[k - 2][here - 1]) & _marked(pairs, grams[k - 2][here])]
+                        held[k].append((grams[k - 2][here - 1], tag[here]))
+                    size += len(at) - early
                     if size >= lane:
                         for k in lengths:
                             yield sent(k, *map(np.concatenate, zip(*held[k])))
@@ -245,21 +257,19 @@ def _states(table: pa.Table) -> _States:
     return _States(table.column("_w").to_numpy().view(np.uint64), [table.column(c).to_numpy() for c in _NUMBERS])
 
 
-def traverse(levels: list[tuple], tables: list[_States], below: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token of a lane: whether it is known, its unigram and its automaton probability."""
-    def look(code: np.ndarray) -> list[np.ndarray]:
-        into = [np.zeros(len(code), np.int64) for _ in _NUMBERS]
-        for table in tables:
-            table.fill(code, into)
-        return into
+def traverse(numbers: list[list[np.ndarray]], at: np.ndarray, below: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token of a lane: whether it is known, its unigram and its automaton probability.
 
-    count = look(levels[0][0])[0]
+    ``numbers`` has, for each length, count, arcs and their count of the n-gram ending at each token,
+    zeros where that is no state; ``at`` is the token's place in its text.
+    """
+    count = numbers[0][0]
     known, base = count > 0, (count + 0.5) / below
     p = base
-    for gram, head, enough in levels[1:]:
-        state, arcs, taken = look(head)
-        own = look(gram)[0]
-        inside = enough & (state > 0)
+    for k in range(1, len(numbers)):
+        state, arcs, taken = map(_before, numbers[k - 1])
+        own = numbers[k][0]
+        inside = (at >= k) & (state > 0)
         state = np.maximum(state, 1)
         fails = 1 - (taken - DISCOUNT * arcs) / state
         p = np.where(inside, np.where(own > 0, own - DISCOUNT, 0) / state + fails * p, p)
@@ -315,25 +325,26 @@ def _score_texts(docs: DataFrame, id_col: str, text_col: str, order: int, word_s
     held = bitmap(table.where(~common).select("_w"))
     lane = LANE
 
-    def wanted(row: dict) -> Iterator[tuple[int, np.ndarray]]:
-        """Ranges of the model and the sorted hashes that a block asks for there; always the same."""
-        token, place, _ = _tokens(row)
-        codes = [np.zeros(0, np.uint64)]
-        for _, levels in _lanes(token, place, order, lane):
-            for code, _, enough in levels:
-                code = code[enough]
-                code = np.unique(code[_marked(held, code)])
-                codes.append(code[hand.place(code) < 0])
-        code = np.unique(np.concatenate(codes))
+    def asked_of(codes: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Ranges of the model and the sorted hashes to ask for there; always the same for the same block."""
+        codes = [code[_marked(held, code)] for code in codes]
+        codes = [code[hand.place(code) < 0] for code in codes]
+        code = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]))
         part = (code >> np.uint64(64 - bits)).astype(np.int64)
         cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield int(part[a]), code[a:b]
 
+    def distinct_grams(row: dict) -> list[np.ndarray]:
+        """Distinct n-grams of a block, sorted, by lane and length."""
+        token, place, _ = _tokens(row)
+        return [_distinct(gram[early:][at[early:] >= k])
+                for _, early, grams, at in _lanes(token, place, order, lane) for k, gram in enumerate(grams)]
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                asked = list(wanted(row))
+                asked = list(asked_of(distinct_grams(row)))
                 yield pa.record_batch(
                     [pa.array([part for part, _ in asked], pa.int32()),
                      pa.array([row["_block"]] * len(asked), pa.int64()),
@@ -352,7 +363,7 @@ def _score_texts(docs: DataFrame, id_col: str, text_col: str, order: int, word_s
 
     def answered(row: dict, answers: pa.Table) -> _States:
         """The states a block asked for, their numbers in the order of its questions."""
-        asked = dict(wanted(row))
+        asked = dict(asked_of(distinct_grams(row)))
         code, numbers = [np.zeros(0, np.uint64)], [[np.zeros(0, np.int64)] for _ in _NUMBERS]
         for found in answers.to_pylist():
             code.append(asked[found["_range"]])
@@ -367,8 +378,15 @@ def _score_texts(docs: DataFrame, id_col: str, text_col: str, order: int, word_s
             token, place, sizes = _tokens(row)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             sums = np.zeros((3, len(sizes)))
-            for lo, levels in _lanes(token, place, order, lane):
-                known, base, p = traverse(levels, tables, below)
+            for lo, early, grams, at in _lanes(token, place, order, lane):
+                numbers = []
+                for gram in grams:
+                    code, where = np.unique(gram, return_inverse=True)  # sorted, so that the search stays in cache
+                    into = [np.zeros(len(code), np.int64) for _ in _NUMBERS]
+                    for table in tables:
+                        table.fill(code, into)
+                    numbers.append([x[where] for x in into])
+                known, base, p = (x[early:] for x in traverse(numbers, at, below))
                 own = doc[lo:lo + len(known)]
                 for k, x in enumerate((known, np.log10(base), np.log10(p))):
                     sums[k] += np.bincount(own, x, len(sizes))
