@@ -375,6 +375,24 @@ def test_lm_keeps_ngrams_seen_twice_at_any_size(spark, word_scale):
     assert len(got) == len(rows)
 
 
+def test_lm_scoring_over_many_blocks_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(lm_backoff, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(lm_backoff, "LANE", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["The", "cat", "sat", "on", f"x{i}"], 40))) for i in range(20)]
+    rows += [rows[3], rows[3], (None, None), (None, "the cat"), (50, ""), (51, "sat on " * 2000)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS _block", "2 AS _held", "3 AS n_tokens").repartition(3)
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
+    tokens = [(i, words((t or "").lower()) + [None]) for i, t in rows]
+    train = [t for i, t in tokens if fold(i) != 1]
+    total = sum(map(len, train))
+    expected = sort((i, len(t), *(round(x, 6) for x in _plain_lm(train, t, 1.5 / total ** (2 / 3)))) for i, t in tokens)
+    for scale in (0.0005, 1e9):  # with states at hand, and with none
+        got = lm_backoff.score_texts(docs, word_scale=scale).collect()
+        assert sort((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == expected
+        assert all(r.train_tokens == total for r in got)
+
+
 def test_toxicity(spark):
     text = lambda i, bad: " ".join(f"t{(i * 7 + k) % 90}" for k in range(20)) + " vile" * bad
     rows = [(i, text(i, 1 + i % 6 if i % 3 == 0 else 0)) for i in range(120)] + [(200, None), (None, "vile vile vile")]
