@@ -140,3 +140,38 @@ def test_clusters_separate_disjoint_vocabularies(spark):
             sides.setdefault(r.cluster, set()).add(r.ID % 2)
     assert sorted(map(tuple, sides.values())) == [(0,), (1,)]
     assert [r.cluster for r in found if r.g == 2] == [1]
+
+
+def test_blocks_share_few_rows(spark, monkeypatch):
+    from lexalia.operators import blocks as B
+    monkeypatch.setattr(B, "BLOCK_CELLS", 20)
+    rows = [(g, d, f"t{t % 7 if t < 3 else 10 * d + t}", float(d + t)) for g in (1, 2) for d in range(60) for t in range(6)]
+    dtm = spark.createDataFrame(rows, "g int, ID int, term string, w double")
+    found = B.Blocks(dtm, ["g"], ["ID"], {"w": (F.col("w"), np.float64)})
+    packed = found.table.toArrow()
+    parts = [B.Block(packed.slice(i, 1), found.kinds) for i in range(packed.num_rows)]
+    found.drop()
+    assert len(parts) > 10 and sum(len(p.at) for p in parts) == len(rows)
+    names = {r._t: (r.g, r.term) for r in found.terms.collect()}
+    docs = {r._d: (r.g, r.ID) for r in found.docs.collect()}
+    assert sorted((*docs[d], names[t][1], w) for p in parts for d, t, w in zip(
+        np.repeat(p.docs, p.sizes).tolist(), p.terms[p.at].tolist(), p.w.tolist())) == sorted(rows)
+    places = [names[t] for p in parts for t in p.terms.tolist()]
+    shared = [names[t] for p in parts for t in p.terms[:p.shared].tolist()]
+    assert sorted(shared) == sorted(x for x in places if places.count(x) > 1)
+
+
+def test_clusters_same_over_many_blocks(spark, monkeypatch):
+    from lexalia.operators import blocks as B
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in (1, 2):
+        for d in range(30):
+            w = rng.random(8) + 0.1
+            w /= np.sqrt((w * w).sum())
+            rows += [(g, d, f"t{t}", float(x)) for t, x in zip(rng.choice(25, 8, replace=False) + 10 * (d % 3), w)]
+    unit = spark.createDataFrame(rows, "g int, ID int, term string, w double")
+    sides = {r.ID: (r.cluster) for r in cluster_documents(unit, ["g"], ["ID"], 4).where("g = 1").collect()}
+    monkeypatch.setattr(B, "BLOCK_CELLS", 10)
+    again = {r.ID: (r.cluster) for r in cluster_documents(unit, ["g"], ["ID"], 4).where("g = 1").collect()}
+    assert sides == again and len(set(sides.values())) == 4
