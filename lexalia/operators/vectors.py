@@ -223,7 +223,8 @@ def corpus_probability(dtm: DataFrame, by: list[str]) -> DataFrame:
 
 def _share(counts: DataFrame, by: list[str]) -> DataFrame:
     if by:
-        totals = counts.groupBy(*by).agg(F.sum("term_freq").alias("_total"))
+        # Written, so that the join knows that a row per group is little and does not gather a group's terms.
+        totals = cut_lineage(counts.groupBy(*by).agg(F.sum("term_freq").alias("_total")), "totals")
         shared = counts.join(totals, by)
     else:
         shared = counts.withColumn("_total", counts.agg(F.sum("term_freq")).scalar())
