@@ -39,7 +39,9 @@ SLOTS = WORD_SLOTS + SHAPE_SLOTS
 WIDTH = 2 * SIZE + 2
 HIDDEN, STEPS, RATE, DECAY = 32, 300, 0.02, 1e-3
 COMMON = 1e-3
-_SPAN = 1 << 15
+_SPAN = 1 << 14
+#: Tokens whose surroundings, each number of which is at most 2 * REACH * 2 * 8, add up within 15 bits.
+_ADDED = ((1 << 15) - 1) // (32 * REACH)
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 
 _CLASS = np.arange(256).astype(np.uint8)
@@ -73,32 +75,56 @@ def slots(texts: pa.Array) -> tuple[W.Words, np.ndarray, np.ndarray]:
             (shape % np.uint64(SHAPE_SLOTS)).astype(np.int64) + WORD_SLOTS)
 
 
+def _packed(x: np.ndarray) -> np.ndarray:
+    """Four neighbouring small numbers as the digits, signed and to base 2**16, of one 64-bit number, which adds up as they do."""
+    x = x.astype(np.int64).reshape(len(x), -1, 4)
+    return x[..., 0] + (x[..., 1] << 16) + (x[..., 2] << 32) + (x[..., 3] << 48)
+
+
+def _unpacked(x: np.ndarray) -> np.ndarray:
+    """The digits, each of which must lie within 16 signed bits."""
+    out = np.empty((*x.shape, 4), np.int64)
+    for i in range(4):
+        out[..., i] = x.astype(np.int16)
+        x = (x - out[..., i]) >> 16
+    return out.reshape(len(x), -1)
+
+
 def _context(texts: pa.Array, index: np.ndarray, out: np.ndarray, seen: np.ndarray) -> None:
-    """Add the index vectors around every token to ``out`` and count tokens in ``seen``; all in whole numbers."""
+    """Add the index vectors (packed, or packed here) around every token to ``out`` and count tokens in ``seen``; all in whole numbers."""
+    index = _packed(index) if index.shape[1] == SIZE else index
     words, form, shape = slots(texts)
     for lo in range(0, len(form), _SPAN):
         first, last = max(lo - REACH, 0), min(lo + _SPAN + REACH, len(form))
         doc = words.doc[first:last]
         own = index[form[first:last]] + index[shape[first:last]]
-        around = np.zeros((len(own), SIZE), np.int16)
+        around = np.zeros_like(own)
         for step in range(1, REACH + 1):
-            same = (doc[step:] == doc[:-step])[:, None]
-            around[:-step] += own[step:] * same
-            around[step:] += own[:-step] * same
+            around[:-step] += own[step:]
+            around[step:] += own[:-step]
+            other = np.flatnonzero(doc[step:] != doc[:-step])
+            around[other] -= own[other + step]
+            around[other + step] -= own[other]
         around = around[lo - first:lo - first + _SPAN]
         for slot in (form[lo:lo + _SPAN], shape[lo:lo + _SPAN]):
-            order = np.argsort(slot, kind="stable")
+            order = np.argsort(slot.astype(np.uint16), kind="stable")
             opens = np.flatnonzero(np.diff(slot[order], prepend=-1))
+            count = np.diff(np.append(opens, len(slot)))
             at = slot[order[opens]]
-            out[at] += np.add.reduceat(around[order], opens, axis=0, dtype=np.int64)
-            seen[at] += np.diff(np.append(opens, len(slot)))
+            seen[at] += count
+            # So few tokens at a time that the sums fit into their digits.
+            parts = -(-count // _ADDED)
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            sums = _unpacked(np.add.reduceat(around[order], np.repeat(opens, parts) + nth * _ADDED, axis=0))
+            out[at] += sums[nth == 0]
+            np.add.at(out, np.repeat(at, parts)[nth > 0], sums[nth > 0])
 
 
 class Model:
-    """Slot vectors with their weights, network and temperature."""
+    """Slot vectors times their weights, the weights, network and temperature."""
 
     def __init__(self, vectors: np.ndarray, weight: np.ndarray, base: float = 0.5):
-        self.vectors, self.weight, self.base = vectors, weight, base
+        self.vectors, self.weight, self.base = vectors * weight[:, None], weight, base
         self.layers: list[np.ndarray] | None = None
         self.temperature = 1.0
 
@@ -108,7 +134,7 @@ class Model:
         full = np.flatnonzero(words.counts)
         if len(full):
             for i, own in enumerate((form, shape)):
-                sums = np.add.reduceat(self.vectors[own] * self.weight[own, None], words.first[full])
+                sums = np.add.reduceat(self.vectors[own], words.first[full])
                 total = np.add.reduceat(self.weight[own], words.first[full])
                 out[full, i * SIZE:(i + 1) * SIZE] = sums / np.maximum(total, 1e-6)[:, None]
         again = (form[1:] == form[:-1]) & (words.doc[1:] == words.doc[:-1])
@@ -164,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = texts.join(marked, "_id").groupBy("_id", "_y").agg(one).select("_y", F.col("_one._text").alias("_text"))
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, out, seen = index_vectors(), np.zeros((SLOTS, SIZE), np.int64), np.zeros(SLOTS, np.int64)
+        index, out, seen = _packed(index_vectors()), np.zeros((SLOTS, SIZE), np.int64), np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in W.slices(batch, "_text", 1 << 19):
                 _context(part.column("_text"), index, out, seen)

@@ -295,6 +295,22 @@ def test_context_sums_match_plain_loops(monkeypatch):
     assert (out == expected).all() and (seen == count).all()
 
 
+def test_context_sums_of_a_word_said_very_often():
+    """Sums far beyond 16 bits, of both signs, and a vector table that carries its weights."""
+    import pyarrow as pa
+    q, n = quality_classifier, 40_000
+    out, seen = np.zeros((q.SLOTS, q.SIZE), np.int64), np.zeros(q.SLOTS, np.int64)
+    index = q.index_vectors()
+    q._context(pa.array(["so " * n]), q._packed(index), out, seen)
+    _, form, shape = q.slots(pa.array(["so"]))
+    around = (4 * n - 6) * (index[form[0]].astype(np.int64) + index[shape[0]])
+    assert (out[form[0]] == around).all() and (out[shape[0]] == around).all() and seen.sum() == 2 * n
+    ends = np.array([[-(1 << 15), (1 << 15) - 1, -1, 0] * (q.SIZE // 4)])
+    assert (q._unpacked(q._packed(ends)) == ends).all()
+    weight = np.linspace(0, 1, q.SLOTS, dtype=np.float32)
+    assert (q.Model(out.astype(np.float32), weight).vectors[form[0]] == around.astype(np.float32) * weight[form[0]]).all()
+
+
 def test_quality_sample_takes_one_text_of_an_id_and_vectors_cover_all(spark):
     good, bad = "calm words of some length here", "XX !! 99 XX !! 99"
     ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
