@@ -1,5 +1,7 @@
 """Work per task does not grow with the stored texts."""
 
+from pyspark.sql import functions as F
+
 from lexalia.operators import vectors
 from lexalia.plans import corpus as base, ingest_queries, registry
 
@@ -48,3 +50,42 @@ def test_share_of_a_group_moves_no_terms(spark):
         assert 1.99 < sum(r.p for r in share.collect()) < 2.01
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_document_frequencies_of_a_group_move_once(spark):
+    rows = [(f"g{i % 2}", i, f"t{i // 2}", 1, 1) for i in range(20000)]
+    dtm = spark.createDataFrame(rows, "g string, d int, term string, n int, copies int")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        freq = vectors.term_doc_freq(dtm, dtm.groupBy("g").agg(F.countDistinct("d").alias("n_docs")), ["g"])
+        assert "SortMergeJoin" not in freq._jdf.queryExecution().executedPlan().toString()
+        assert freq.count() == 20000 and freq.filter("round(exp(idf)) = 10000").count() == 20000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_pairs_carry_only_terms_that_two_documents_share(spark, monkeypatch):
+    rows = [(1, i, f"own{i}_{k}", 1, 0.05) for i in range(30) for k in range(300)]
+    rows += [(1, i, f"rare{i // 2}", 2, 0.5) for i in range(30)] + [(1, i, f"{i % 15}", 2, 0.01) for i in range(30)]
+    unit = spark.createDataFrame(rows, "g int, d int, term string, doc_freq long, w double")
+    written = {}
+    cut = vectors.cut_lineage
+
+    def seen(df, label="stage", replaces=None):
+        out = cut(df, label, replaces)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(vectors, "cut_lineage", seen)
+    got = vectors.cosine_pairs(unit, ["g"], "d", 0.2).collect()
+    assert {(r.id_a, r.id_b) for r in got} == {(2 * i, 2 * i + 1) for i in range(15)}
+    # Neither terms of one document are stored, nor pairs scored that share a term of little weight only.
+    assert written["unit"] == 60 and written["leading"] <= 60 and written["candidates"] == 15
+
+
+def test_hashed_terms_count_as_terms_do(spark):
+    docs = spark.createDataFrame([(1, "kot pies kot"), (2, ""), (3, "pies dom 12")], "ID int, t string")
+    plain, hashed = (sorted((r.ID, r.term is None, r.n) for r in vectors.dtm_from_text(
+        docs, "t", ["ID"], marks=True, hashed=h).collect()) for h in (False, True))
+    assert plain == hashed and [x for x in hashed if x[1]] == [(1, True, 1), (2, True, 1), (3, True, 1)]
