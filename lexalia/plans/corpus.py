@@ -46,11 +46,14 @@ def corpus_view(docs: DataFrame) -> DataFrame:
 def by_document(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """``docs`` distributed by document, in so many parts that the counts of one fit in a task at any size.
 
-    A number of parts that is given is not reduced by adaptive execution. The counts that follow are
+    A number of parts that is given is not reduced by adaptive execution; a corpus that one task may hold
+    needs none. The counts that follow are
     shuffled in parts that do not grow with the input either.
     """
     size = stored_bytes(spark, f"{folder}/documents.parquet")
     at_least_partitions(spark, -(-size // SHUFFLE_BYTES))
+    if size <= TASK_BYTES:
+        return docs.repartition(*KEYS)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     return docs.repartition(parts, *KEYS)
 
