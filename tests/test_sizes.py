@@ -1,8 +1,9 @@
 """Work per task does not grow with the stored texts."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lexalia.operators import vectors
+from lexalia.operators import blocks, clustering, topics, vectors
 from lexalia.plans import corpus as base, ingest_queries, registry
 
 
@@ -89,3 +90,46 @@ def test_hashed_terms_count_as_terms_do(spark):
     plain, hashed = (sorted((r.ID, r.term is None, r.n) for r in vectors.dtm_from_text(
         docs, "t", ["ID"], marks=True, hashed=h).collect()) for h in (False, True))
     assert plain == hashed and [x for x in hashed if x[1]] == [(1, True, 1), (2, True, 1), (3, True, 1)]
+
+
+def _texts(spark, docs=36):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in ("a", "b"):
+        for d in range(docs):
+            words = [f"w{int(x) + 8 * (d % 3)}" for x in rng.integers(0, 12, 25)]
+            rows.append((g, d, words + [f"own{g}{d}_{i}" for i in range(d % 4)] + [f"own{g}{d}_0"] * (d % 2)))
+    rows.append(("b", 0, ["w1", "w2"]))  # a second row of a document
+    rows.append((None, 7, ["w1"]))
+    texts = spark.createDataFrame(rows, "period string, ID int, terms array<string>")
+    counts = texts.select("period", "ID", F.explode("terms").alias("term")).groupBy("period", "ID", "term").agg(F.count("*").alias("n"))
+    return texts.repartition(5, "period", "ID"), counts
+
+
+def _clusters(rows):
+    return {(r.period, r.ID): r.cluster for r in rows.collect()}
+
+
+def test_clusters_of_texts_in_a_task_and_over_blocks(spark, monkeypatch):
+    texts, counts = _texts(spark)
+    counts = counts.dropna()
+    freq = vectors.term_doc_freq(counts, vectors.document_counts(counts.select("period", "ID").distinct(), ["period"]), ["period"])
+    unit = vectors.unit_length(vectors.tfidf(counts, freq, ["period"]), ["period", "ID"])
+    monkeypatch.setattr(clustering, "LOCAL_CELLS", 0)
+    expected = _clusters(clustering.cluster_documents(unit, ["period"], ["ID"], 4))
+    assert len(expected) == 72 and len(set(expected.values())) == 4
+    assert _clusters(clustering.cluster_texts(texts, ["period"], ["ID"], 5, 4)) == expected
+    monkeypatch.setattr(clustering, "LOCAL_CELLS", 10**6)
+    monkeypatch.setattr(clustering, "_SLICE_CELLS", 50)
+    # Rounds in tasks: no similarity is written.
+    monkeypatch.setattr(clustering, "_similarities", None)
+    assert _clusters(clustering.cluster_texts(texts, ["period"], ["ID"], 5, 4)) == expected
+    assert _clusters(clustering.cluster_documents(unit, ["period"], ["ID"], 4)) == expected
+
+
+def test_shuffles_go_with_the_stage_that_made_them(spark):
+    from lexalia.session import _CLEANUP, shuffles_go
+    before = spark.conf.get(_CLEANUP, None)
+    with shuffles_go(spark):
+        assert spark.conf.get(_CLEANUP) == "true"
+    assert spark.conf.get(_CLEANUP, None) == before
