@@ -127,6 +127,39 @@ def test_clusters_of_texts_in_a_task_and_over_blocks(spark, monkeypatch):
     assert _clusters(clustering.cluster_documents(unit, ["period"], ["ID"], 4)) == expected
 
 
+def test_leading_terms_are_those_of_all_topics(spark, monkeypatch):
+    texts, counts = _texts(spark)
+    monkeypatch.setattr(topics, "_SLICE_CELLS", 40)
+    beta = topics.fit_topics(counts.dropna(), ["period"], ["ID"], k=3)
+    expected = sorted(map(tuple, topics.top_topic_terms(beta, ["period"], 40).collect()))
+    sizes = []
+    cut = topics.cut_lineage
+
+    def seen(df, label="stage", replaces=None, **how):
+        out = cut(df, label, replaces, **how)
+        sizes.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(topics, "cut_lineage", seen)
+    found = sorted(map(tuple, topics.leading_terms(texts, ["period"], ["ID"], 5, 40, k=3).select(*beta.columns).collect()))
+    assert [r[:3] for r in found] == [r[:3] for r in expected] and len(found) >= 2 * 3 * 40
+    assert np.allclose([r[3] for r in found], [r[3] for r in expected], rtol=1e-9)
+
+
+def test_terms_of_one_document_that_move_alike_are_one(spark):
+    rows = [("g", d, ["shared", *[f"own{d}_{i}" for i in range(400)]]) for d in range(4)]
+    texts = spark.createDataFrame(rows, "period string, ID int, terms array<string>").repartition(3, "period", "ID")
+    found = topics.leading_terms(texts, ["period"], ["ID"], 3, 2000, k=3)
+    assert found.count() == 3 * 1601 and found.groupBy("topic").agg(F.sum("beta").alias("s")).where("abs(s - 1) > 1e-9").isEmpty()
+    drawn, held, test = topics._drawn(["period"], ["ID"], 3, 1, 10)
+    packed = blocks.TextBlocks(texts, ["period"], ["ID"], 3, held, topics._classes(3), {
+        "n": np.int32, "z": np.int8, "marks": np.int8, "mult": np.int32, "alone": np.int64, "stands": np.int32},
+        code=lambda t: drawn(t) + 3 * test(t).cast("int"))
+    cells = sum(len(x) // 4 for x in packed.table.toArrow()["_at"].to_pylist())
+    assert cells <= 4 * 7 and packed.vocabulary() == {packed.groups.first()["_g"]: 1601}
+    packed.drop()
+
+
 def test_shuffles_go_with_the_stage_that_made_them(spark):
     from lexalia.session import _CLEANUP, shuffles_go
     before = spark.conf.get(_CLEANUP, None)
